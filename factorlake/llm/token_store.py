@@ -86,8 +86,8 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             crc = []
             for parts in batch.column(3).to_pylist():
-                whole = 0
-                for p in parts:
+                whole = parts[0]["crc"]
+                for p in parts[1:]:
                     whole = T.crc32_join(whole, p["crc"], 4 * p["n"])
                 crc.append(whole)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], ["row", "doc_id", "n_tokens", "ids_crc32"])
