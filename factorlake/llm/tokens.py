@@ -17,6 +17,9 @@ import pyarrow as pa
 
 from . import textkernel as K
 
+#: Bytes of text that are split into pieces at a time.
+BLOCK_BYTES = 1 << 18
+
 _LETTER, _NUMBER, _OTHER, _SPACE, _UNSAFE = range(5)
 _LIMIT = 0x250
 
@@ -31,7 +34,17 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
-_KIND = _kinds()
+def _shown() -> np.ndarray:
+    """The character that byte-level models have for each byte: itself if it is printable, else the next past U+00FF."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    out = np.zeros(256, "<u4")
+    out[plain] = plain
+    rest = np.setdiff1d(np.arange(256), plain)
+    out[rest] = 0x100 + np.arange(len(rest))
+    return out
+
+
+_KIND, _SHOWN = _kinds(), _shown()
 _SPREAD = K.mix(np.arange(7, _LIMIT + 8, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -71,8 +84,10 @@ def boundaries(c: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray
 class WordCache:
     """ids of whole documents. slots: entries of the cache (a power of two); pool: ids it may hold before it starts anew."""
 
-    def __init__(self, path: str, slots: int = 1 << 20, pool: int = 1 << 22):
+    def __init__(self, path: str, slots: int = 1 << 20, pool: int = 6 << 20):
         self.tokenizer, self.slots, self.pool_size = load(path), slots, pool
+        before = self.tokenizer.pre_tokenizer
+        self.by_words = type(self.tokenizer.model).__name__ == "BPE" and self.tokenizer.normalizer is None and type(before).__name__ == "ByteLevel" and not before.add_prefix_space and before.use_regex
         self._clear()
 
     def _clear(self) -> None:
@@ -81,11 +96,10 @@ class WordCache:
         self.count = np.zeros(self.slots, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
-    def _add(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _add(self, hashes: np.ndarray, ids: list[list[int]], grow: bool) -> None:
         count = np.fromiter(map(len, ids), np.int32, len(ids))
         flat = np.fromiter((x for y in ids for x in y), np.int32, int(count.sum()))
-        if self.used + len(flat) > self.pool_size:
+        if self.used + len(flat) > self.pool_size and not grow:
             self._clear()
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -95,8 +109,8 @@ class WordCache:
         self.at[slot] = self.used + np.cumsum(count) - count
         self.used += len(flat)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets of the documents' ids) of a block."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray, grow: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets of the documents' ids) of a block. grow: the pool may pass its size, for the block's own pieces."""
         n_docs = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(n_docs + 1, np.int64)
@@ -105,7 +119,7 @@ class WordCache:
         lead = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
         at = lead[offsets]  # documents' first code points
-        if at[-1] != len(c):  # not UTF-8; one document after the other
+        if at[-1] != len(c) or not self.by_words:  # not UTF-8; one document after the other
             return self._plainly([bytes(data[a:b]).decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
         kind = _KIND[np.minimum(c, _LIMIT)]
         unsafe = np.zeros(len(c) + 1, np.int64)
@@ -123,21 +137,22 @@ class WordCache:
         missing = np.flatnonzero(self.keys[slot] != h)
         spilt: dict[int, list[int]] = {}
         if len(missing):
+            shown = _SHOWN[data].tobytes().decode("utf-32-le")
+            byte_at = np.append(np.flatnonzero(np.diff(lead)), len(data))
+            tokenize = self.tokenizer.model.tokenize
+
+            def split(some: np.ndarray) -> list[list[int]]:
+                return [[t.id for t in tokenize(shown[a:b])] for a, b in zip(byte_at[starts[some]].tolist(), byte_at[ends[some]].tolist(), strict=True)]
+
             new, which = np.unique(h[missing], return_index=True)
-            pick = missing[which]
-            strings = [text[a:b] for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
-            if len(new) > self.slots // 4:
-                return self._plainly([text[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
             before = self.used
-            self._add(new, strings)
+            self._add(new, split(missing[which]), grow)
             if self.used < before:  # the cache began anew: what was there is missing again
-                return self.encode(data, offsets)
+                return self.encode(data, offsets, grow=True)
             lost = np.flatnonzero(self.keys[slot] != h)  # two pieces of this block share a slot
             if len(lost):
                 again, which = np.unique(h[lost], return_index=True)
-                pick = lost[which]
-                ids = self.tokenizer.encode_batch_fast([text[a:b] for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)], add_special_tokens=False)
-                own = {int(k): e.ids for k, e in zip(again, ids, strict=True)}
+                own = dict(zip(again.tolist(), split(lost[which]), strict=True))
                 spilt = {int(i): own[int(h[i])] for i in lost}
         count, source = self.count[slot], self.at[slot].astype(np.int64)
         for i, ids in spilt.items():
@@ -185,7 +200,7 @@ def cache(path: str) -> WordCache:
 def encoded(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids with end_id after them as uint32) for each text of a column; null is the empty text."""
     words, tail = cache(path), np.array([end_id], np.uint32)
-    for a, b, data, offsets in K.blocks(column):
+    for a, b, data, offsets in K.blocks(column, BLOCK_BYTES):
         ids, at = words.encode(data, offsets)
         ids = ids.astype(np.uint32)
         for i in range(b - a):
