@@ -12,15 +12,17 @@ of pi, one element's values for all coordinates are one contiguous slice.
 
 Work stays linear in a group of copies: equal sets collapse to one class first; then members of a bucket are verified
 against one member of it, with other members in each further round, and only classes that are still apart; copies in one
-component are never paired with each other. What is apart after these rounds is compared pair by pair across
-components within buckets, so that no link found by the banding is lost. A pair at the threshold of 0.8 shares no band
+component are never paired with each other. What is apart after these rounds is compared across components within buckets,
+by parity bitmaps: a pair goes on to its full sets only if its bitmaps allow the similarity, which they do for every pair
+that has it. So no link found by the banding is lost. A pair at the threshold of 0.8 shares no band
 with probability below 3e-7.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ from .components import components
 
 UNIVERSE_BITS = 20
 BANDS, ROWS = 50, 6
+#: Words of 64 bits in a set's parity bitmap.
+PARITY_WORDS = 16
 STAR_ROUNDS = 3
 
 
@@ -106,15 +110,21 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
     return docs.select("doc_id", shared.text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hash binary, keys array<long>")
 
 
+def parity(x: np.ndarray) -> np.ndarray:
+    """A bitmap in which each element flips one bit, as signed words. Two sets differ in at least as many elements as their bitmaps in bits."""
+    bits = np.bincount((x & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def sets(docs: DataFrame, width: int) -> DataFrame:
-    """(set_hash, elements) of each row, with the elements as long."""
+    """(set_hash, elements, bits) of each row, with the elements as long and the parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [x for _, x in element_sets(batch.column(0), width)]
-            yield pa.RecordBatch.from_arrays([pa.array(map(set_name, got), pa.binary()), lists([K.to_signed(x) for x in got])], ["set_hash", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_name, got), pa.binary()), lists([K.to_signed(x) for x in got]), lists([parity(x) for x in got])], ["set_hash", "elements", "bits"])
 
-    return docs.select(shared.text_of().alias("text")).mapInArrow(run, "set_hash binary, elements array<long>")
+    return docs.select(shared.text_of().alias("text")).mapInArrow(run, "set_hash binary, elements array<long>, bits array<long>")
 
 
 def similar(common: Column, left: Column, right: Column, percent: int) -> Column:
@@ -139,7 +149,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80, bands: int =
     # The full sets of the classes that share a bucket with another, each from the document of its smallest doc_id.
     involved = scratch.keep(classes.join(nodes, "node", "left_semi").select("node", "set_hash", "low"), "involved")
     sources = docs.join(involved.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    full = scratch.keep(sets(sources, width).join(involved.select("node", "set_hash"), "set_hash").select("node", "elements").dropDuplicates(["node"]), "sets")
+    full = scratch.keep(sets(sources, width).join(involved.select("node", "set_hash"), "set_hash").select("node", "elements", *(F.col("bits")[i].alias(f"w{i}") for i in range(PARITY_WORDS))).dropDuplicates(["node"]), "sets")
     labels = scratch.keep(nodes.select("node", F.col("node").alias("label")), "labels")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -165,9 +175,14 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80, bands: int =
             one = open_buckets.select("bucket", F.col("one.node").alias("b"), F.col("one.label").alias("label_b"))
             pairs = now.join(one, "bucket").filter("label <> label_b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         else:
-            rest = scratch.keep(now.join(open_buckets.select("bucket"), "bucket", "left_semi").select("bucket", "node", "label"), "rest")
-            other = rest.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            pairs = rest.join(other, "bucket").filter("label < label_b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+            words = [f"w{i}" for i in range(PARITY_WORDS)]
+            rest = now.join(open_buckets.select("bucket"), "bucket", "left_semi").join(full.select("node", F.size("elements").alias("n"), *words), "node")
+            rest = scratch.keep(rest.select("bucket", "node", "label", "n", *words), "rest")
+            other = rest.select("bucket", *(F.col(c).alias(f"{c}_b") for c in rest.columns[1:]))
+            # Sets of n and m elements with d that only one holds share (n + m - d) / 2.
+            differ = reduce(add, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words])
+            may_link = (100 + percent) * (F.col("n") + F.col("n_b") - differ) >= 2 * percent * (F.col("n") + F.col("n_b"))
+            pairs = rest.join(other, "bucket").filter("label < label_b").filter(may_link).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
         labels = merged(labels, verified(pairs))
 
     labelled = classes.select("set_hash", "n_shingles", "node", "low").join(labels, "node", "left").select("set_hash", "n_shingles", "low", F.coalesce("label", "node").alias("label"))
