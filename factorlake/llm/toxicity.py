@@ -35,7 +35,7 @@ PREFIXES, SUFFIXES = range(2, 10), range(2, 6)
 @dataclass
 class Settings:
     window: int = 32
-    sample: int = 1500
+    sample: int = 1000
     document_windows: int = 256
     least_documents: int = 3
     epochs: int = 14
@@ -158,12 +158,12 @@ class Network:
 
 def word_parts(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(words, prefixes and suffixes) hash buckets of words' first and last bytes; 0 where the word is shorter."""
-    out = np.zeros((len(starts), len(PREFIXES) + len(SUFFIXES)), np.int64)
+    out = np.zeros((len(starts), len(PREFIXES) + len(SUFFIXES)), np.int32)
     for k, (n, tail) in enumerate([*((n, False) for n in PREFIXES), *((n, True) for n in SUFFIXES)]):
         some = np.flatnonzero(ends - starts >= n)
         a = ends[some] - n if tail else starts[some]
         h = K.span_hash(prefix, a, a + n) ^ np.uint64(k + 1)
-        out[some, k] = 1 + (K.mix(h) % np.uint64(BUCKETS - 1)).astype(np.int64)
+        out[some, k] = 1 + (K.mix(h) % np.uint64(BUCKETS - 1)).astype(np.int32)
     return out
 
 
@@ -192,6 +192,15 @@ def read(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.bincount(row, minlength=len(offsets) - 1), h, word_parts(prefix, starts[first], ends[first]), which
 
 
+def read_all(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """read() of a whole column, block by block."""
+    got = [read(data, offsets) for _, _, data, offsets in K.blocks(column)]
+    h, first, merged = np.unique(np.concatenate([g[1] for g in got]), return_index=True, return_inverse=True)
+    at = np.cumsum([0, *(len(g[1]) for g in got)])
+    which = np.concatenate([merged[a : a + len(g[1])][g[3]] for a, g in zip(at, got, strict=False)]).astype(np.int32)
+    return np.concatenate([g[0] for g in got]), h, np.concatenate([g[2] for g in got])[first], which
+
+
 def figures(logits: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """(documents, 4): 1, and of the windows' squashed logits the highest, the mean of the highest quarter, the mean."""
     order = np.lexsort((-logits, doc))
@@ -232,7 +241,7 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Network |
     seen: set[int] = set()
     kept = []
     for i, text in enumerate(texts):
-        _, _, _, h = K.word_hashes(*K.column_bytes(pa.array([text])), K.PUNCTUATION)
+        _, _, _, h = K.word_hashes(*K.column_bytes(pa.array([text], pa.large_string())), K.PUNCTUATION)
         lowest = int(K.run_hashes(h, min(3, len(h))).min()) if len(h) else -1
         if lowest not in seen:  # a near copy has the same smallest run, most often
             seen.add(lowest)
@@ -240,17 +249,21 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Network |
     y = np.asarray(labels)[kept].astype(np.float32)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
-    counts, hashes, parts, which = read(*K.column_bytes(pa.array([texts[i] for i in kept])))
+    counts, hashes, parts, which = read_all(pa.array([texts[i] for i in kept], pa.large_string()))
     word_doc = np.repeat(np.arange(len(y)), counts)
     have, odds = log_odds(which, word_doc, y, len(hashes))
     often = have >= settings.least_documents
     each = np.unique(which * len(y) + word_doc)  # distinct words of documents
-    bucket_have, bucket_odds = log_odds(parts[each // len(y)].ravel(), np.repeat(each % len(y), parts.shape[1]), y, BUCKETS)
-    bucket_odds = np.where(bucket_have >= settings.least_documents, bucket_odds, 0)
+    bucket_odds = np.zeros(BUCKETS)
+    for k in range(parts.shape[1]):  # one kind after the other, for the driver's memory
+        bucket_have, own = log_odds(parts[each // len(y), k].astype(np.int64), each % len(y), y, BUCKETS)
+        own[bucket_have < settings.least_documents] = 0
+        bucket_odds = np.where(np.abs(own) > np.abs(bucket_odds), own, bucket_odds)
     bucket_odds[0] = 0
+    del each, word_doc
     net = Network(hashes[often], odds[often].astype(np.float32), bucket_odds.astype(np.float32), settings.seed)
     ids = net.word_ids(hashes)
-    which = np.append(which, len(ids))
+    which = np.append(which, len(ids)).astype(np.int32)
     first, doc = window_rows(counts, settings.window)
     number, total = np.arange(len(doc)) - np.searchsorted(doc, doc), np.bincount(doc)[doc]
     spread = number * settings.document_windows // total
