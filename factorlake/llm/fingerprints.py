@@ -64,20 +64,21 @@ def edits(one: Column, other: Column) -> Column:
     return F.when(F.substring(one, 1, 64) == F.substring(other, 1, 64), F.array().cast("array<struct<section:int,paragraph:int>>")).otherwise(F.flatten(F.transform(places, section)))
 
 
-def boundaries(docs: DataFrame, rows_each: int) -> list:
-    """The first doc_ids of buckets of about ``rows_each`` rows; one number for each bucket comes to the driver."""
+def boundaries(docs: DataFrame, rows_each: int, most: int) -> list:
+    """The first doc_ids of buckets of about ``rows_each`` rows, or of more rows each, so that at most about ``most`` come to the driver."""
     ids = docs.select("doc_id").filter("doc_id is not null")
-    n = max(1, -(-docs.select("doc_id").count() // rows_each))
-    ranged = ids.repartitionByRange(n, "doc_id").select("doc_id", F.spark_partition_id().alias("bucket"))
-    return sorted(r["first"] for r in ranged.groupBy("bucket").agg(F.min("doc_id").alias("first")).collect())
+    rows_each = max(rows_each, ids.count() // most)
+    ranged = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("doc_id", F.monotonically_increasing_id().alias("place"))
+    # Places count from 0 in each partition, in the lower 33 bits.
+    return sorted({r["doc_id"] for r in ranged.filter((F.col("place").bitwiseAND((1 << 33) - 1) % rows_each) == 0).collect()})
 
 
-def with_next(docs: DataFrame, rows_each: int = 512) -> DataFrame:
+def with_next(docs: DataFrame, rows_each: int = 2048, most: int = 100_000) -> DataFrame:
     """(doc_id, text, fingerprint, next_text, next_fingerprint) in ascending doc_id order, ties by text; after the last comes the first. Null doc_ids come first.
 
     Texts are shuffled once. Rows go to buckets of consecutive doc_ids; each bucket's first doc_id also goes to the bucket
     before it, behind that bucket's own rows, so that each row finds its next one in its bucket."""
-    starts = boundaries(docs, rows_each)
+    starts = boundaries(docs, rows_each, most)
     group = max(1, int(len(starts) ** 0.5))
     kind = docs.schema["doc_id"].dataType.simpleString()
     coarse = F.array(*[F.lit(x).cast(kind) for x in starts[::group]]) if starts else F.array().cast(f"array<{kind}>")

@@ -279,6 +279,9 @@ def test_fingerprints(spark):
         a, b, c = (set(tree(x)[65:].replace("|", ",").replace("/", ",").split(",")) for x in (t, edited, follower))
         assert r["fingerprint"] == tree(t) and r["edited_fingerprint"] == tree(edited)
         assert r["near_edited"] == len(a & b) / max(len(a), len(b)) and r["near_next"] == len(a & c) / max(len(a), len(c))
+    for each in (1, 100):
+        nexts = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next(docs, rows_each=each).collect()}
+        assert nexts == {i: rows[(k + 1) % len(rows)][1] for k, (i, _) in enumerate(rows)}
     assert fingerprints.with_edits(odd(spark)).count() == len(ODD) and fingerprints.with_edits(empty(spark)).count() == 0
     one = spark.createDataFrame([(1, "A b. C d.\nE f.\n\nG.")], "doc_id long, text string")
     assert fingerprints.with_edits(one).first()["near_next"] == 1.0
