@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import shared
 from . import textkernel as K
@@ -100,7 +101,7 @@ def without_repeats(docs: DataFrame, sentences: int = SENTENCES, least_words: in
     doc, what = shared.fresh(docs, "covered_doc", "covered")
     n_sentences, n_removed = shared.fresh(docs, "n_sentences", "n_removed")
     joined = docs.join(covered.select(F.col("doc_id").alias(doc), F.col("covered").alias(what)), docs["doc_id"].eqNullSafe(F.col(doc)), "inner" if only_changed else "left").drop(doc)
-    schema = docs.schema.add(n_sentences, "long").add(n_removed, "long")
+    schema = StructType([*docs.schema.fields, StructField(n_sentences, LongType()), StructField(n_removed, LongType())])
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

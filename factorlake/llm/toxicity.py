@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import shared
 from . import textkernel as K
@@ -355,5 +356,5 @@ def score(docs: DataFrame, net: Network | float, window: int = Settings.window)
         return pa.schema([*list(batch.schema)[:-1], pa.field("score", pa.float64())])
 
     (name,) = shared.fresh(docs, "text_to_score")
-    schema = docs.schema.add("score", "double")
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
     return docs.withColumn(name, shared.text_of()).mapInArrow(run, schema)
