@@ -1,0 +1 @@
+"""Mixture analytics for vector collections, on Spark DataFrames."""

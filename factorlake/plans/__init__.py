@@ -1,9 +1,6 @@
 """Registered queries of the mixture engine and their oracle SQL."""
 
+from .oracle import oracle_sql
+from .queries import queries
 
-def queries() -> dict:
-    return {}
-
-
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["oracle_sql", "queries"]
