@@ -20,7 +20,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that score as toxic go."""
     columns = docs.columns
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.filter(F.col("score") < TOXIC_FROM).select(*columns)
+    return scored.filter(F.col(scored.columns[-1]) < TOXIC_FROM).select(*columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -160,6 +160,7 @@ class Index:
 
 def find(docs: DataFrame, benchmark: DataFrame, segment: int = SEGMENT, percent: int = PERCENT, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, edits, n_held, n_segments) for each document row and item of which it holds a segment."""
+    shared.bound_batches(docs.sparkSession)
     items = benchmark.select("item_id", shared.text_of().alias("text"))
     size = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))

@@ -133,6 +133,7 @@ def similar(common: Column, left: Column, right: Column, percent: int) -> Column
 
 def near_duplicates(docs: DataFrame, width: int, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id of its component), kept (whether that is its own)."""
+    shared.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     scratch = shared.Scratch(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -57,6 +57,7 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float)
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, with_ids: bool = True, linear: float = 1.0, quadratic: float = 1 / 1024, group_documents: int = GROUP_DOCUMENTS) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, unless with_ids is False, ids (array<int>)."""
+    shared.bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     groups = max(1, math.ceil(docs.count() / group_documents))
     id_type = "<u2" if T.load(tokenizer).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"

@@ -97,6 +97,7 @@ def repeated(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEA
 
 def without_repeats(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEAST_WORDS, only_changed: bool = False) -> DataFrame:
     """docs with what repeats cut out of text, and two columns more: n_sentences, n_removed. only_changed: rows that lost something."""
+    shared.bound_batches(docs.sparkSession)
     covered = repeated(docs, sentences, least_words)
     doc, what = shared.fresh(docs, "covered_doc", "covered")
     n_sentences, n_removed = shared.fresh(docs, "n_sentences", "n_removed")

@@ -20,6 +20,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes of a batch that goes to a Python worker. A text longer than that makes a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches to Python workers hold BATCH_BYTES at most from now on, unless the session asks for less: rows of text have no bound of their own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive lost executors. drop() removes them early."""
 

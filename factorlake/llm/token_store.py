@@ -28,6 +28,7 @@ PIECE = 1 << 16
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, piece: int = PIECE) -> DataFrame:
     """(row, doc_id, piece, ids) in ascending doc_id order. The text is shuffled once, by ranges of doc_id, and tokenised where it is written."""
+    shared.bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -342,19 +342,18 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
 
 
 def score(docs: DataFrame, net: Network | float, window: int = Settings.window) -> DataFrame:
-    """docs with score appended (0 to 1); the frame's other columns stay. One map over the rows, without a shuffle."""
+    """docs with score appended (0 to 1; under another name where docs has one of that); other columns stay. One map over the rows, without a shuffle."""
+    shared.bound_batches(docs.sparkSession)
+    (name,) = shared.fresh(docs, "score")
     if isinstance(net, float):
-        return docs.withColumn("score", F.lit(net))
+        return docs.withColumn(name, F.lit(net))
     given = docs.sparkSession.sparkContext.broadcast(net)  # vocabulary of the bounded sample
 
+    text_at = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [score_block(given.value, data, offsets, window) for _, _, data, offsets in K.blocks(batch.column(batch.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate([*out, np.zeros(0)]))], schema=arrow(batch))
-
-    def arrow(batch: pa.RecordBatch) -> pa.Schema:
-        return pa.schema([*list(batch.schema)[:-1], pa.field("score", pa.float64())])
+            out = [score_block(given.value, data, offsets, window) for _, _, data, offsets in K.blocks(batch.column(text_at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*out, np.zeros(0)]))], names=[*batch.schema.names, name])
 
-    (name,) = shared.fresh(docs, "text_to_score")
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.withColumn(name, shared.text_of()).mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))

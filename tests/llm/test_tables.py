@@ -87,6 +87,10 @@ def test_pipeline_against_its_stages(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stage = dict(p.STAGES)
+    clashing = docs.selectExpr("*", "1 AS SCORE", "2 AS covered", "3 AS n_removed", "4 AS leaked_doc", "5 AS copy_id", "6 AS n_sentences")
+    for name, apply in p.STAGES[:-1]:
+        assert apply(spark, clashing, SF).columns == clashing.columns, name
+        assert apply(spark, clashing.limit(0), SF).count() == 0, name
     kept = stage["near_duplicates"](spark, docs, SF)
     assert kept.columns == docs.columns
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
