@@ -1,9 +1,14 @@
 """Benchmark decontamination with the q-gram lemma.
 
 Texts are compared as bytes of their words (runs without ASCII punctuation, controls and white space; A-Z lower-cased)
-with one blank between words. A benchmark item is cut into segments of ``segment`` bytes, each starting ``segment`` / 2
-after the one before (a shorter item is one segment; the last ends with the item). A document holds a segment if some part
-of it is within ``edits`` = floor(percent * segment length / 100) insertions, deletions and substitutions.
+with one blank between words. A benchmark item is cut into segments of ``segment`` bytes, one every ``segment`` / 10 bytes,
+and into ones of ``excerpt`` bytes, one every ``edits`` + 1 (a shorter item is one segment; the last of each size ends with
+the item). A document holds a segment if some part of it is within ``edits`` = floor(percent * segment length / 100)
+insertions, deletions and substitutions.
+
+So wherever a verbatim excerpt of ``excerpt`` - ``edits`` bytes of an item stands in it, some segment lacks no more than
+``edits`` bytes of it and is held: 57 bytes, some 9 words, with the values below. From ``excerpt`` + ``edits`` (63) bytes on
+an excerpt may have 3 edits, and 7 from ``segment`` + ``segment`` / 10 - 1 (131) on.
 
 Such a part shares at least length + 1 - q - q * edits of the segment's q-grams with it, all within ``edits`` of one
 diagonal (place in the document less place in the item). Matches of q-grams are counted in overlapping bands of diagonals;
@@ -28,6 +33,7 @@ from . import shared
 from . import textkernel as K
 
 Q, SEGMENT, PERCENT, LEAST, BLOCK_BYTES = 12, 120, 6, 60, 4 << 20
+EXCERPT = 60
 _BITS = 22
 
 
@@ -60,25 +66,26 @@ def grams(data: np.ndarray) -> np.ndarray:
     return K.mix(eight * np.uint64(K._BASE) + four)
 
 
-def within(pattern: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, int] | None:
-    """(edits, end) of the best match of pattern anywhere in text, if within the budget. One row of the table per pattern byte."""
-    n = len(text)
-    row, steps = np.zeros(n + 1, np.int64), np.arange(n + 1)
-    for i, c in enumerate(pattern, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        np.minimum(row[:-1] + (text != c), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - steps) + steps
-        if row.min() > edits:
-            return None
-    end = int(np.argmin(row))
-    return (int(row[end]), end) if row[end] <= edits else None
+def aligned(pattern: np.ndarray, starts: np.ndarray, size: int, body: np.ndarray, low: int, width: int, edits: int) -> np.ndarray:
+    """For each segment [a, a + size) of pattern, a in starts, its fewest edits to a part of body on diagonals low to low + width - 1. Values above edits aren't exact."""
+    # Past the ends of body stand bytes that equal none: no better than a deletion.
+    at = starts[:, None] + low + np.arange(size + width - 1)
+    text = np.where((at >= 0) & (at < len(body)), body[at.clip(0, len(body) - 1)].astype(np.int16), np.int16(-1))
+    own = pattern[starts[:, None] + np.arange(size)].astype(np.int16)
+    row, steps = np.zeros((len(starts), width), np.int16), np.arange(width, dtype=np.int16)
+    for i in range(size):
+        new = row + (text[:, i : i + width] != own[:, i : i + 1])
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+        if i % 8 == 7 and row.min() > edits:
+            break
+    return row.min(axis=1)
 
 
 class Index:
     """The q-grams of a block of items."""
 
-    def __init__(self, items: list[tuple[object, str]], segment: int, percent: int, least: int):
+    def __init__(self, items: list[tuple[object, str]], segment: int, percent: int, least: int, excerpt: int = EXCERPT):
         self.ids = [i for i, _ in items]
         data, at = normalised(*K.column_bytes(pa.array([t for _, t in items], pa.large_string())))
         self.texts = [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -86,10 +93,11 @@ class Index:
         for x in self.texts:
             m, own = len(x), []
             if m > 1:
-                size = min(m, segment)
-                for a in sorted({*range(0, m - size + 1, max(1, segment // 2)), m - size}):
+                for size in sorted({min(m, segment), min(m, segment, excerpt)}):
                     edits = percent * size // 100 if m >= least else 0
-                    own.append((a, a + size, edits, max(1, size + 1 - Q - Q * edits)))
+                    step = max(1, segment // 10) if size > excerpt else edits + 1
+                    for a in sorted({*range(0, m - size + 1, step), m - size}):
+                        own.append((a, a + size, edits, max(1, size + 1 - Q - Q * edits)))
             self.segments.append(own)
         found = [(grams(x), k) for k, x in enumerate(self.texts) if len(x) >= Q]
         keys = np.concatenate([g for g, _ in found]) if found else np.zeros(0, np.uint64)
@@ -144,21 +152,19 @@ class Index:
             low = bin_ * half - reach  # diagonals low to low + width - 1
             own = best.setdefault((d, k), {})
             body, pattern = text[at[d] : at[d + 1]], self.texts[k]
+            sizes: dict[tuple[int, int], list[int]] = {}
             for s, (a, b, edits, _) in enumerate(self.segments[k]):
-                if own.get(s) == 0:
-                    continue
-                region = body[max(0, low + a - edits) : max(0, low + self.width + b + edits)]
-                if len(region) < b - a - edits:
-                    continue
-                if region.tobytes().find(pattern[a:b].tobytes()) >= 0:
-                    own[s] = 0
-                elif edits and (got := within(pattern[a:b], region, edits)):
-                    own[s] = min(own.get(s, got[0]), got[0])
+                if own.get(s) != 0:
+                    sizes.setdefault((b - a, edits), []).append(s)
+            for (size, edits), some in sizes.items():
+                starts = np.array([self.segments[k][s][0] for s in some])
+                got = aligned(pattern, starts, size, body, low - edits, self.width + 2 * edits, edits)
+                own.update((s, min(own.get(s, x), x)) for s, x in zip(some, got.tolist(), strict=True) if x <= edits)
         out += [(d, k, min(own.values()), len(own), len(self.segments[k])) for (d, k), own in best.items() if own]
         return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, segment: int = SEGMENT, percent: int = PERCENT, least: int = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, segment: int = SEGMENT, percent: int = PERCENT, least: int = LEAST, block_bytes: int = BLOCK_BYTES, excerpt: int = EXCERPT) -> DataFrame:
     """(doc_id, item_id, edits, n_held, n_segments) for each document row and item of which it holds a segment."""
     shared.bound_batches(docs.sparkSession)
     items = benchmark.select("item_id", shared.text_of().alias("text"))
@@ -172,7 +178,7 @@ def find(docs: DataFrame, benchmark: DataFrame, segment: int = SEGMENT, percent:
     def block(n: int) -> DataFrame:
         own = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == n)
         rows = [(r["item_id"], r["text"]) for r in own.collect()]  # about block_bytes of text
-        index = docs.sparkSession.sparkContext.broadcast(Index(rows, segment, percent, least))
+        index = docs.sparkSession.sparkContext.broadcast(Index(rows, segment, percent, least, excerpt))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -228,6 +228,23 @@ def test_decontamination_against_full_alignment(spark):
     assert decontamination.find(odd(spark), bench).count() >= 0
 
 
+def test_decontamination_finds_excerpts_wherever_they_lie(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(60)]
+    rows = [(a, f"some other words {' '.join(words[a : a + 13])} and what follows") for a in range(48)]  # 77 bytes each
+    rows += [(100 + a, f"other {' '.join([*words[a : a + 6], 'q' + words[a + 6][1:], *words[a + 7 : a + 13]])} words") for a in range(48)]  # one edit
+    rows += [(200, f"other {' '.join(words[:4])} words {' '.join(words[9:13])}")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontamination.find(docs, bench).collect()) == [*range(48), *range(100, 148)]
+    text = " ".join(words).encode()
+    index = decontamination.Index([(1, text.decode())], decontamination.SEGMENT, decontamination.PERCENT, decontamination.LEAST)
+    least = decontamination.EXCERPT - decontamination.PERCENT * decontamination.EXCERPT // 100
+    cut = [b"zzz" + text[a : a + least] + b"zzz" for a in range(len(text) - least + 1)]
+    found = index.matches(np.frombuffer(b"".join(cut), np.uint8), np.arange(len(cut) + 1) * (least + 6))
+    # The blanks at an excerpt's ends may go with the words beside them.
+    assert {d for d, *_ in found} >= {d for d, x in enumerate(cut) if x[3:4] != b" " and x[-4:-3] != b" "}
+
+
 def test_license_scan(spark):
     rows = [*ODD, (30, "MIT license, mit LICENSE!\ncc-by CC BY"), (31, "apache  license gnu general\npublic license"), (32, "mit licenses"), (33, "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software and associated\ndocumentation files, to deal in the Software without restriction.\nelse"), (34, "x\nReleased under the license of MIT ok")]
     rows += [(100000 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
