@@ -7,9 +7,9 @@ over the next, all of them. A document's score is logistic in three figures of i
 the mean of the highest quarter, and the mean. The gates use x / (1 + |x|) in place of exponentials.
 
 Training sees at most ``sample`` labelled documents of each class (those of the smallest hashes of doc_id; near copies of
-one that is there already are left out) and at most ``document_windows`` windows of each, spread evenly. That sample is the
-only bound; scoring reads every word of every document. The network learns from the window that scores highest in each
-document, starting with the one whose words' log odds are highest.
+one that is there already are left out), and all windows of each. That sample is the only bound; scoring reads every word of
+every document. The network learns from the window that scores highest in each document, starting with the one whose words'
+log odds are highest.
 
 Null and empty texts score as an empty window. Repeated rows score alike. With no labelled rows of either class, or an
 empty table, every score is the share of class 1 among labels (0.0 without any). Other columns are not read.
@@ -37,7 +37,6 @@ PREFIXES, SUFFIXES = range(2, 10), range(2, 6)
 class Settings:
     window: int = 32
     sample: int = 1000
-    document_windows: int = 256
     least_documents: int = 3
     epochs: int = 14
     rate: float = 0.02
@@ -266,14 +265,14 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Network |
     ids = net.word_ids(hashes)
     which = np.append(which, len(ids)).astype(np.int32)
     first, doc = window_rows(counts, settings.window)
-    number, total = np.arange(len(doc)) - np.searchsorted(doc, doc), np.bincount(doc)[doc]
-    spread = number * settings.document_windows // total
-    chosen = (total <= settings.document_windows) | (np.diff(spread, prepend=-1) != 0)
-    first, doc = first[chosen], doc[chosen]
-    rows = which[filled(first, doc, counts, settings.window, len(which) - 1)]
     begin = np.searchsorted(doc, np.arange(len(y) + 1))
     hints = np.append(np.where(often, odds, 0) + bucket_odds[parts].max(axis=1), -99)
-    hint = hints[rows].max(axis=0)
+
+    def rows(some: np.ndarray | slice) -> np.ndarray:
+        """(window, windows) distinct words of some windows. All windows' at once could be too many for the driver."""
+        return which[filled(first[some], doc[some], counts, settings.window, len(which) - 1)]
+
+    hint = np.concatenate([hints[rows(slice(i, i + 4096))].max(axis=0) for i in range(0, len(first), 4096)])
     rng, moments, step = np.random.default_rng(settings.seed), {}, 0
     weight = np.where(y > 0, (len(y) - y.sum()) / y.sum(), 1.0)
 
@@ -286,8 +285,7 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Network |
         net.p[name] -= (settings.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
     def all_logits() -> np.ndarray:
-        x = net.inputs(ids, parts)
-        return np.concatenate([net.forward(x, rows[:, i : i + 4096]) for i in range(0, rows.shape[1], 4096)])
+        return logits_of(net, net.inputs(ids, parts), which, first, doc, counts, settings.window)
 
     for epoch in range(settings.epochs):
         value = hint if epoch < 3 else all_logits()
@@ -297,10 +295,10 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Network |
             some = order[i : i + 128]
             other = rng.integers(begin[:-1][some], begin[1:][some])[y[some] == 0]
             pick = np.concatenate([best[some], other])
-            words, local = np.unique(rows[:, pick], return_inverse=True)
+            words, local = np.unique(rows(pick), return_inverse=True)
             real = words[words < len(ids)]
             x = net.inputs(ids[real], parts[real])
-            g, dx = net.gradients(x, local.reshape(len(rows), -1), np.concatenate([y[some], np.zeros(len(other), np.float32)]), np.concatenate([weight[some], np.ones(len(other))]).astype(np.float32))
+            g, dx = net.gradients(x, local.reshape(settings.window, -1), np.concatenate([y[some], np.zeros(len(other), np.float32)]), np.concatenate([weight[some], np.ones(len(other))]).astype(np.float32))
             step += 1
             gw, gc = np.zeros_like(net.p["words"]), np.zeros_like(net.p["chars"])
             np.add.at(gw, ids[real], dx[:-1, :WORD])

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factorlake.llm import decontamination, fingerprints, licenses, near_duplicates, packing, sentence_spans, token_store, toxicity
@@ -329,6 +330,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.fit(docs.limit(0), labels) == 0.0
 
 
+def test_toxicity_training_reads_all_windows(monkeypatch):
+    rng = np.random.default_rng(3)
+    plain = np.array(["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(50)])
+    texts, labels = [], []
+    for k in range(16):
+        w = rng.choice(plain, 20_000)
+        if k % 2:
+            w[50 + 80 * k : 54 + 80 * k] = "zzbad"  # in two of 1249 windows
+        texts.append(" ".join(w))
+        labels.append(k % 2)
+    counted, trained, figures, gradients = [], [], toxicity.figures, toxicity.Network.gradients
+    monkeypatch.setattr(toxicity, "figures", lambda logits, *rest: counted.append(len(logits)) or figures(logits, *rest))
+    monkeypatch.setattr(toxicity.Network, "gradients", lambda net, x, *rest: trained.append(x) or gradients(net, x, *rest))
+    toxicity.train(texts, np.array(labels), toxicity.Settings(epochs=1))
+    assert counted[0] % 1249 == 0 and counted[0] > 8 * 1249
+    assert trained[0][:, 0].max() > 0.3  # the log odds of the one word that only class 1 has
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(2)
     net = toxicity.Network(np.array([1, 2, 3], np.uint64), np.ones(3, np.float32), np.zeros(toxicity.BUCKETS, np.float32), 1)
