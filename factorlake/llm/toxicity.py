@@ -6,8 +6,8 @@ embeddings of its hashed first 2 to 9 and last 2 to 5 bytes. A document is read
 over the next, all of them. A document's score is logistic in three figures of its windows' logits, squashed: the highest,
 the mean of the highest quarter, and the mean. The gates use x / (1 + |x|) in place of exponentials.
 
-Training sees at most ``sample`` labelled documents of each class (those of the smallest hashes of doc_id; near copies of
-one that is there already are left out), and all windows of each. That sample is the only bound; scoring reads every word of
+Training sees at most ``sample`` labelled documents of each class (those of the smallest hashes of doc_id; rows of equal
+words and the same class count once), and all windows of each. That sample is the only bound; scoring reads every word of
 every document. The network learns from the window that scores highest in each document, starting with the one whose words'
 log odds are highest.
 
@@ -238,13 +238,13 @@ def log_odds(ids: np.ndarray, doc: np.ndarray, y: np.ndarray, n: int) -> tuple[n
 
 def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Network | float:
     """A network, or the share of class 1 where one class is missing."""
-    seen: set[int] = set()
+    seen: set[tuple] = set()
     kept = []
     for i, text in enumerate(texts):
         _, _, _, h = K.word_hashes(*K.column_bytes(pa.array([text], pa.large_string())), K.PUNCTUATION)
-        lowest = int(K.run_hashes(h, min(3, len(h))).min()) if len(h) else -1
-        if lowest not in seen:  # a near copy has the same smallest run, most often
-            seen.add(lowest)
+        same = (labels[i], len(h), int(K.span_hash(K.prefix_hash(h), np.array([0]), np.array([len(h)]))[0]))
+        if same not in seen:
+            seen.add(same)
             kept.append(i)
     y = np.asarray(labels)[kept].astype(np.float32)
     if not len(y) or y.min() == y.max():

@@ -348,6 +348,20 @@ def test_toxicity_training_reads_all_windows(monkeypatch):
     assert trained[0][:, 0].max() > 0.3  # the log odds of the one word that only class 1 has
 
 
+def test_toxicity_training_drops_only_equal_rows(monkeypatch):
+    rng = np.random.default_rng(4)
+    some = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    shared_part = some(300)  # most smallest runs of three words lie in it
+    texts = [f"{shared_part} {some(5)}" for _ in range(8)]
+    labels = [0, 0, 0, 0, 1, 1, 1, 1]
+    texts += [texts[0].upper().replace(" ", ", "), texts[0], texts[4], "", ""]  # copies, one of them of the other class
+    labels += [0, 1, 1, 0, 0]
+    rows, read_all = [], toxicity.read_all
+    monkeypatch.setattr(toxicity, "read_all", lambda column: rows.append(len(column)) or read_all(column))
+    toxicity.train(texts, np.array(labels), toxicity.Settings(epochs=1))
+    assert rows == [10]  # the eight, the copy of the other class, and one without words
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(2)
     net = toxicity.Network(np.array([1, 2, 3], np.uint64), np.ones(3, np.float32), np.zeros(toxicity.BUCKETS, np.float32), 1)
