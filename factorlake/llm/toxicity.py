@@ -36,7 +36,7 @@ PREFIXES, SUFFIXES = range(2, 10), range(2, 6)
 @dataclass
 class Settings:
     window: int = 32
-    sample: int = 1000
+    sample: int = 1500
     least_documents: int = 3
     epochs: int = 14
     rate: float = 0.02

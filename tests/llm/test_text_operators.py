@@ -362,6 +362,14 @@ def test_toxicity_training_drops_only_equal_rows(monkeypatch):
     assert rows == [10]  # the eight, the copy of the other class, and one without words
 
 
+def test_toxicity_training_takes_1500_of_a_class(spark):
+    docs = spark.range(2600).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = docs.selectExpr("doc_id", "0 as toxic").filter(~toxicity.held_out())
+    assert labels.count() > 1500
+    texts, marks = toxicity.training_rows(docs, labels, toxicity.Settings())
+    assert len(texts) == len(marks) == 1500
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(2)
     net = toxicity.Network(np.array([1, 2, 3], np.uint64), np.ones(3, np.float32), np.zeros(toxicity.BUCKETS, np.float32), 1)
