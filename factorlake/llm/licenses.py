@@ -1,8 +1,9 @@
 """License scans: base phrases, and an exact set-similarity join of text blocks with license templates. DataFrame operations only.
 
 Words are runs of digits, letters a-z and any characters past ASCII, A-Z taken as a-z. A block is a line, and also a run of
-up to ``WIDEST`` consecutive lines (notices are often wrapped). A template is found where a block holds at least
-``threshold`` percent of its distinct words.
+up to ``WIDEST`` consecutive lines (notices are often wrapped). Where that may hold too few words after the first line, there is a block for each template of n words as well: the line and the n - 1 words after it, on as many lines as they take
+(lines without words don't count). So a notice is found however narrow its lines are. A template is found where a block
+holds at least ``threshold`` percent of its distinct words.
 
 The join is exact. Template words are put in one global order, rarest in the corpus's lines first (ties by word). A template
 of n words of which t are needed must share a word among its first n - t + 1 (prefix filter) with any block that meets the
@@ -107,15 +108,27 @@ def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
 
 
-def _blocks(docs: DataFrame, order: list[str], prefixes: list[str], widest: int) -> DataFrame:
-    """(doc_id, text_hash, words): blocks of up to ``widest`` lines, their template words in the global order. The prefix filter comes first, on whole texts: one without any template's prefix word has no block to find."""
+def _blocks(docs: DataFrame, order: list[str], prefixes: list[str], widest: int, longest: int) -> DataFrame:
+    """(doc_id, text_hash, words, run, head): blocks of up to ``widest`` lines, their template words in the global order. Where these may have fewer than ``longest`` - 1 words after the first line, also the words of a line (head of them) and the ``longest`` - 1 after it, in run as they stand; else run is null. The prefix filter comes first, on whole texts: one without any template's prefix word has no block to find."""
     text = shared.text_of()
     low = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"), F.lower(text).alias("low"))
     some = low.filter(reduce(or_, [F.contains("low", F.lit(w)) for w in prefixes]))
     lines = some.select("doc_id", "text_hash", F.split(F.translate("text", _UPPER, _LOWER), "\n").alias("lines"))
+    vocabulary = F.array(*[F.lit(w) for w in order])
     line = lines.select("doc_id", "text_hash", "lines", F.posexplode("lines").alias("i", "one")).select("doc_id", "text_hash", F.array_join(F.slice("lines", F.col("i") + 1, widest), "\n").alias("line"))
-    own = F.array_intersect(F.array(*[F.lit(w) for w in order]), F.split("line", _SEPARATORS))
-    return line.select("doc_id", "text_hash", own.alias("words"))
+    narrow = line.select("doc_id", "text_hash", F.array_intersect(vocabulary, F.split("line", _SEPARATORS)).alias("words"), F.lit(None).cast("array<string>").alias("run"), F.lit(0).alias("head"))
+    blank = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+    solid = some.select("doc_id", "text_hash", F.split(F.translate("text", _UPPER, _LOWER), "\n").alias("lines"), F.col("text").rlike(f"\n{blank}\n{blank}\n").alias("gaps"))
+    solid = solid.select("doc_id", "text_hash", F.filter("lines", lambda x: x.rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")).alias("lines"), F.size("lines").alias("n"), "gaps")
+    # So many lines with words, at least, the block of ``widest`` lines that begins with one has.
+    sure = F.when(F.size("lines") == F.col("n"), widest).when(~F.col("gaps"), (widest + 1) // 2).otherwise(1)
+    start = solid.withColumn("sure", sure).select("doc_id", "text_hash", "lines", "sure", F.posexplode("lines").alias("i", "one"))
+    start = start.filter(F.size("lines") > F.col("i") + F.col("sure"))
+    after = F.array_join(F.slice("lines", F.col("i") + 2, F.col("sure") - 1), "\n")
+    start = start.filter(count_blanks(spaced(after)) < longest - 1)
+    start = start.select("doc_id", "text_hash", count_blanks(spaced(F.col("one"))).cast("int").alias("head"), F.split(F.trim(spaced(F.array_join(F.slice("lines", F.col("i") + 1, longest), "\n"))), " ").alias("all"))
+    wide = start.select("doc_id", "text_hash", F.slice("all", 1, F.col("head") + longest - 1).alias("run"), "head")
+    return narrow.unionByName(wide.select("doc_id", "text_hash", F.array_intersect(vocabulary, "run").alias("words"), "run", "head"))
 
 
 def template_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: int = THRESHOLD, widest: int = WIDEST) -> DataFrame:
@@ -126,18 +139,20 @@ def template_matches(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES,
     needed = {k: -(-len(s) * threshold // 100) for k, s in sets.items()}
     order = word_order(docs, vocabulary)
     rank = {w: i for i, w in enumerate(order)}
+    lengths = {k: sum(1 for x in re.split(_SEPARATORS, v) if x) for k, v in templates.items()}
     index = []
     for name, own in sets.items():
         own = sorted(own, key=rank.__getitem__)
-        index += [(w, name, i, len(own), needed[name], own) for i, w in enumerate(own[: len(own) - needed[name] + 1])]
+        index += [(w, name, i, len(own), needed[name], lengths[name], own) for i, w in enumerate(own[: len(own) - needed[name] + 1])]
     # As many rows as templates have prefix words.
-    small = F.broadcast(spark.createDataFrame(index, "word string, template string, at int, size int, needed int, own array<string>"))
+    small = F.broadcast(spark.createDataFrame(index, "word string, template string, at int, size int, needed int, length int, own array<string>"))
     fewest = min(needed.values())
-    ordered = _blocks(docs, order, sorted({x[0] for x in index}), widest)
+    ordered = _blocks(docs, order, sorted({x[0] for x in index}), widest, max(lengths.values()))
     prefix = F.when(F.size("words") >= fewest, F.slice("words", 1, F.size("words") - fewest + 1))
-    probe = ordered.select("doc_id", "text_hash", "words", F.posexplode(prefix).alias("place", "word"))
+    probe = ordered.select("doc_id", "text_hash", "words", "run", "head", F.posexplode(prefix).alias("place", "word"))
     joined = probe.join(small, "word").filter(F.size("words") >= F.col("needed")).filter(F.least(F.size("words") - F.col("place"), F.col("size") - F.col("at")) >= F.col("needed") - F.least("place", "at"))
-    common = F.size(F.array_intersect("words", "own"))
+    held = F.when(F.col("run").isNull(), F.col("words")).otherwise(F.slice("run", 1, F.col("head") + F.col("length") - 1))
+    common = F.size(F.array_intersect(held, F.col("own")))
     return joined.select("doc_id", "text_hash", "template", "needed", "size", common.alias("common")).filter("common >= needed").groupBy("doc_id", "text_hash", "template").agg(F.max(F.col("common") / F.col("size")).alias("score"))
 
 

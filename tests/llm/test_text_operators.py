@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -277,6 +278,24 @@ def test_license_scan(spark):
     assert licenses.scan(empty(spark)).count() == 0 and licenses.scan(odd(spark)).count() == len(ODD)
 
 
+def test_license_scan_finds_notices_on_narrow_lines(spark):
+    rows, want = [], {}
+    for width in (1, 12, 20, 40, 50, 80):
+        for name, notice in licenses.TEMPLATES.items():
+            i = len(rows)
+            gap = "\n\n" if i % 2 else "\n"
+            rows.append((i, "before it\nsomething else\n" + gap.join(textwrap.wrap(notice, width, break_long_words=False)) + "\nand after it\nmore\nof this"))
+            want[i] = name
+    first, *rest = textwrap.wrap(licenses.TEMPLATES["mit-grant"], 80)
+    for gap in ("\n", "\n\n", "\n \n--\n"):  # from the middle of a long line on, with lines without words
+        want[len(rows)] = "mit-grant"
+        rows.append((len(rows), f"{'more words stand here ' * 9}{first}{gap}{gap.join(' '.join(rest).split())}{gap}end"))
+    spread = licenses.TEMPLATES["mit-grant"].split()  # its words with five others after each are no notice
+    rows.append((1000, "\n".join(f"{w}\nand so on it goes" for w in spread)))
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, name in want.items() if name not in got[i]] == [] and "mit-grant" not in got[1000]
+
+
 def test_fingerprints(spark):
     docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(5000, None), (5001, ""), (5002, LONG)], "doc_id long, text string")
     rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
