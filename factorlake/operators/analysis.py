@@ -152,13 +152,15 @@ def pca_dim(values: np.ndarray, threshold: float) -> int:
     return int(np.argmax(reached)) + 1 if reached.any() else len(values)
 
 
-def intrinsic_dims(df: DataFrame, model: Mixture, id_column: str, column: str = "x", threshold: float = 0.9, least: int = 100, most: int = 10_000, seed: int = 42) -> DataFrame:
-    """(k, size, dim): the PCA dimension of each component's rows, of ``most`` random ones at most; 0 for fewer than ``least``. A cluster's moments are summed from partial ones, a cluster is never gathered."""
+def intrinsic_dims(df: DataFrame, model: Mixture, id_column: str, column: str = "x", threshold: float = 0.9, least: int = 100, most: int | None = None, seed: int = 42) -> DataFrame:
+    """(k, size, dim): the PCA dimension of each component's rows, all of them or ``most`` random ones; 0 for fewer than ``least``. A cluster's moments are summed from partial ones, a cluster is never gathered."""
     spark = df.sparkSession
     assigned = score(df.select(id_column, column), model, column).select(id_column, column, "best")
     sizes = cluster_sizes(assigned, len(model.mu))
-    rank = F.row_number().over(Window.partitionBy("best").orderBy(shuffle_key(F.col(id_column), seed), id_column))
-    some = assigned.withColumn("rank", rank).filter(F.col("rank") <= most)
+    some = assigned
+    if most is not None:
+        rank = F.row_number().over(Window.partitionBy("best").orderBy(shuffle_key(F.col(id_column), seed), id_column))
+        some = assigned.withColumn("rank", rank).filter(F.col("rank") <= most)
     d = model.mu.shape[1]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

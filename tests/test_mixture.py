@@ -168,6 +168,14 @@ def test_intrinsic_dimension(spark):
     assert {r["dim"] for r in analysis.intrinsic_dims(df, one, "row_id", least=100).collect()} == {0}
 
 
+def test_intrinsic_dimension_counts_all_rows(spark):
+    axis = "array(if(id = {0}, 1000.0D, 0.0D), if(id = {1}, 1000.0D, 0.0D), (id % 2) * 0.001D)"
+    one = mixture.Mixture(np.zeros((1, 3)), np.ones((1, 3, 1)), np.ones((1, 3)), np.zeros(1))
+    for a, b in ((3, 10_017), (10_700, 11_999)):  # the two rows that make two dimensions
+        df = spark.range(12_000).selectExpr("id as row_id", axis.format(a, b) + " as x")
+        assert [tuple(r) for r in analysis.intrinsic_dims(df, one, "row_id").collect()] == [(0, 12_000, 2)]
+
+
 def test_finite_rows_and_ties(spark):
     df = spark.createDataFrame([(2, [1.0, 0.5, 0.0]), (1, [1.0, 0.5, 0.0]), (3, [float("nan"), 0.0, 0.0])], "row_id long, x array<double>")
     top = analysis.top_rows(df, GOLDEN, "row_id", 1)
