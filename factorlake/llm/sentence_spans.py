@@ -2,7 +2,7 @@
 
 A sentence ends after a word that ends in ``.``, ``!``, ``?`` or the ideographic full stop (a closing quote or bracket may
 follow) and at each line's end. From every sentence a run starts: the fewest consecutive sentences, ``sentences`` at least,
-that hold ``least_words`` words or more. Runs are hashed (64 bits, over words with A-Z lower-cased, so white space between
+that hold ``least_words`` words or more. A sentence that alone has ``alone`` words or more is a run too. Runs are hashed (64 bits, over words with A-Z lower-cased, so white space between
 words doesn't matter) and joined over the whole corpus. A run's first occurrence is the one in the smallest doc_id, there at
 the smallest place; all sentences that any other occurrence covers are removed.
 
@@ -27,7 +27,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from . import shared
 from . import textkernel as K
 
-SENTENCES, LEAST_WORDS = 2, 20
+SENTENCES, LEAST_WORDS, ALONE = 2, 20, 50
 
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
@@ -50,7 +50,7 @@ def sentence_starts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row:
     return np.flatnonzero(begins)
 
 
-def runs(first: np.ndarray, row: np.ndarray, n_words: int, sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+def runs(first: np.ndarray, row: np.ndarray, n_words: int, sentences: int, least_words: int, alone: int = ALONE) -> tuple[np.ndarray, np.ndarray]:
     """(sentence, end sentence) of the runs that stay in one document. first: sentences' first words; row: their documents."""
     n = len(first)
     word = np.append(first, n_words)
@@ -58,7 +58,10 @@ def runs(first: np.ndarray, row: np.ndarray, n_words: int, sentences: int, least
     whole = end <= n
     at = np.flatnonzero(whole)
     at = at[row[end[at] - 1] == row[at]]
-    return at, end[at]
+    long = np.flatnonzero(np.diff(word) >= alone)
+    begin, until = np.append(at, long), np.append(end[at], long + 1)
+    order = np.argsort(begin, kind="stable")
+    return begin[order], until[order]
 
 
 def spans(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -188,6 +188,13 @@ def test_sentence_spans(spark):
     assert sentence_spans.without_repeats(empty(spark)).count() == 0
 
 
+def test_sentence_spans_takes_long_sentences_alone(spark):
+    long, short = (" ".join(f"w{k}x{i}" for i in range(n)) + "." for k, n in enumerate((50, 49)))
+    rows = [(1, long), (2, long), (3, short), (4, short), (5, f"Here before. {long} There after it."), (6, f"{long} And this. {long}")]
+    got = {r["doc_id"]: (r["n_removed"], r["text"].strip()) for r in sentence_spans.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, long), 2: (1, ""), 3: (0, short), 4: (0, short), 5: (1, "Here before. There after it."), 6: (2, "And this.")}
+
+
 def distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(pattern, 1):
