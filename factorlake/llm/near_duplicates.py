@@ -1,10 +1,11 @@
 """Near-duplicate documents: circulant MinHash, banding, exact Jaccard verification, connected components.
 
-A document's set is its distinct runs of ``width`` words (words: anything but ASCII white space, A-Z lower-cased); with
-fewer words, the whole sequence is the one element. Documents are linked when their sets' Jaccard similarity is at least
-``percent`` / 100, confirmed on full sets (of 64-bit hashes). Documents without words, and null texts, have the empty set
-and are linked with nothing. Ties go to the smallest doc_id. Rows that repeat a doc_id are rows of their own; the same
-text gives them the same component. Null doc_ids belong to no component: they come back with a null component_id, kept.
+A row's set is its distinct runs of ``width`` words (words: anything but ASCII white space, A-Z lower-cased); with fewer
+words, the whole sequence is the one element. Rows are linked when their sets' Jaccard similarity is at least
+``percent`` / 100, confirmed on full sets (of 64-bit hashes). Rows without words, and null texts, have the empty set and are
+linked with nothing. A component's name is its smallest doc_id. Rows that repeat a doc_id, and rows of null doc_id, are rows
+of their own; the name of a component without any doc_id is null. Very long texts are read whole. An empty table gives no
+rows. Other columns are not read.
 
 Signatures: all coordinates come from two permutations of a universe of 2^20 places. One, sigma, scatters the elements;
 coordinate k is the minimum of the other, pi, circularly shifted by k. As neighbouring shifts are neighbouring entries
@@ -12,10 +13,12 @@ of pi, one element's values for all coordinates are one contiguous slice.
 
 Work stays linear in a group of copies: equal sets collapse to one class first; then members of a bucket are verified
 against one member of it, with other members in each further round, and only classes that are still apart; copies in one
-component are never paired with each other. What is apart after these rounds is compared across components within buckets,
-by parity bitmaps: a pair goes on to its full sets only if its bitmaps allow the similarity, which they do for every pair
-that has it. So no link found by the banding is lost. A pair at the threshold of 0.8 shares no band
-with probability below 3e-7.
+component are never paired with each other. What is apart after these rounds is compared across components: buckets of
+few members within themselves, members of larger ones by an exact prefix join (elements in one order, rarest first; two
+sets of n >= m elements at similarity t share one of the m - ceil(2 t m / (1 + t)) + 1 rarest of the smaller and of the
+n - ceil(t n) + 1 rarest of the larger, at places that leave room for the overlap). Parity bitmaps then rule out pairs that
+can't have the similarity, and full sets decide. So no link found by the banding is lost. A pair at the threshold of 0.8
+shares no band with probability below 3e-7.
 """
 
 from __future__ import annotations
@@ -38,6 +41,9 @@ BANDS, ROWS = 50, 6
 #: Words of 64 bits in a set's parity bitmap.
 PARITY_WORDS = 16
 STAR_ROUNDS = 3
+KEYS = ["doc_id", "t1", "t2"]
+#: Members up to which a bucket that is still open is compared within itself; larger ones take the prefix join.
+SMALL_BUCKET = 32
 
 
 @lru_cache(2)
@@ -93,21 +99,22 @@ def lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, keys); for the empty set, set_hash is null and there are no keys."""
+    """(doc_id, t1, t2, n_shingles, set_hash, keys); t1 and t2 are the text's hashes. For the empty set, set_hash is null and there are no keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, names, signs = [], [], []
-            for _, x in element_sets(batch.column(1), width):
+            for _, x in element_sets(batch.column(3), width):
                 size.append(len(x))
                 names.append(set_name(x))
                 signs.append(signature(x, bands * rows) if len(x) else None)
             full = [x for x in signs if x is not None]
             keys = iter(band_keys(np.array(full), bands, rows) if full else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(names, pa.binary()), lists([np.zeros(0, np.int64) if x is None else next(keys) for x in signs])], ["doc_id", "n_shingles", "set_hash", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(size, pa.int64()), pa.array(names, pa.binary()), lists([np.zeros(0, np.int64) if x is None else next(keys) for x in signs])], [*KEYS, "n_shingles", "set_hash", "keys"])
 
-    return docs.select("doc_id", shared.text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_hash binary, keys array<long>")
+    t1, t2 = shared.text_keys()
+    return docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), shared.text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, n_shingles long, set_hash binary, keys array<long>")
 
 
 def parity(x: np.ndarray) -> np.ndarray:
@@ -131,27 +138,51 @@ def similar(common: Column, left: Column, right: Column, percent: int) -> Column
     return 100 * common >= percent * (left + right - common)
 
 
-def near_duplicates(docs: DataFrame, width: int, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest doc_id of its component), kept (whether that is its own)."""
+def may_link(n: Column, m: Column, differ: Column, percent: int) -> Column:
+    """Sets of n and m elements with d that only one holds share (n + m - d) / 2; bitmaps differ in at most d bits."""
+    return (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
+
+
+def prefix_pairs(rest: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of rest's nodes (node, label) of other labels that share an element of their prefixes, whatever their bucket. Every such pair at the similarity is among them."""
+    elements = rest.join(full.select("node", "elements"), "node").select("node", "label", F.size("elements").alias("n"), F.explode("elements").alias("element"))
+    often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("often"))
+    ranked = elements.join(often, "element").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("ranked"))
+    least = F.ceil(F.col("n") * percent / 100)
+    overlap = F.ceil(F.col("n") * (2 * percent) / (100 + percent))
+    # A place more on either side keeps rounding harmless.
+    cut = ranked.select("node", "label", "n", (F.col("n") - overlap + 2).alias("few"), F.posexplode(F.slice("ranked", 1, (F.col("n") - least + 2).cast("int"))).alias("at", "r")).select("node", "label", "n", "at", (F.col("at") < F.col("few")).alias("few"), F.col("r.element").alias("element"))
+    small, large = (cut.select("element", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "at", "few"))) for x in "ab")
+    joined = small.filter("few_a").join(large, "element").filter("label_a <> label_b and (n_a < n_b or (n_a = n_b and node_a <> node_b))").filter(100 * F.col("n_a") >= percent * F.col("n_b"))
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    # Of the elements a pair shares the first leaves room for all others.
+    joined = joined.filter((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b")) - (100 + percent))
+    return joined.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def components_of(docs: DataFrame, width: int, percent: int = 80, bands: int = BANDS, rows: int = ROWS, scratch: shared.Scratch | None = None) -> DataFrame:
+    """Per row: doc_id, t1, t2, n_shingles, component_id and head: the struct (unnamed, doc_id, t1, t2) of the component's first row; null for the empty set."""
     shared.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
-    scratch = shared.Scratch(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    scratch = scratch or shared.Scratch(spark)
     docs = docs.select("doc_id", "text")
     signed = scratch.keep(signatures(docs, width, bands, rows), "signatures")
-    known = signed.filter("doc_id is not null and set_hash is not null")
-    # A class: all documents of one set. Its number is fixed by being written.
-    grouped = known.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys"))
+    known = signed.filter("set_hash is not null")
+    # A class: all rows of one set. Its number is fixed by being written.
+    head = F.struct(F.col("doc_id").isNull().alias("unnamed"), *KEYS)
+    grouped = known.groupBy("set_hash", "n_shingles").agg(F.min(head).alias("head"), F.first("keys").alias("keys"))
     classes = scratch.keep(grouped.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
     exploded = classes.select("node", F.explode("keys").alias("bucket"))
     shared_keys = exploded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("bucket")
     members = scratch.keep(exploded.join(shared_keys, "bucket", "left_semi").select("bucket", "node"), "members")
     nodes = members.select("node").distinct()
-    # The full sets of the classes that share a bucket with another, each from the document of its smallest doc_id.
-    involved = scratch.keep(classes.join(nodes, "node", "left_semi").select("node", "set_hash", "low"), "involved")
-    sources = docs.join(involved.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # The full sets of the classes that share a bucket with another, each from its first row.
+    involved = scratch.keep(classes.join(nodes, "node", "left_semi").select("node", "set_hash", *(F.col(f"head.{c}").alias(f"of_{c}") for c in KEYS)), "involved")
+    keyed = docs.withColumns(dict(zip(KEYS[1:], shared.text_keys(), strict=True)))
+    sources = keyed.join(involved, shared.same_row(keyed, KEYS, involved, [f"of_{c}" for c in KEYS]), "left_semi")
     full = scratch.keep(sets(sources, width).join(involved.select("node", "set_hash"), "set_hash").select("node", "elements", *(F.col("bits")[i].alias(f"w{i}") for i in range(PARITY_WORDS))).dropDuplicates(["node"]), "sets")
     labels = scratch.keep(nodes.select("node", F.col("node").alias("label")), "labels")
+    words = [f"w{i}" for i in range(PARITY_WORDS)]
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = full.select(F.col("node").alias("a"), F.col("elements").alias("of_a"))
@@ -167,28 +198,59 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80, bands: int =
         up = components(between, scratch).withColumnRenamed("node", "was").withColumnRenamed("label", "now")
         return scratch.keep(labels.join(up, labels.label == up.was, "left").select("node", F.coalesce("now", "label").alias("label")), "labels")
 
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS):
         now = members.join(labels, "node")
         # A bucket's member of the round: the smallest node first, then by a hash that changes each round.
         order = F.struct("node", "label") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "label")
-        open_buckets = now.groupBy("bucket").agg(F.min(order).alias("one"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        if turn < STAR_ROUNDS:
-            one = open_buckets.select("bucket", F.col("one.node").alias("b"), F.col("one.label").alias("label_b"))
-            pairs = now.join(one, "bucket").filter("label <> label_b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        else:
-            words = [f"w{i}" for i in range(PARITY_WORDS)]
-            rest = now.join(open_buckets.select("bucket"), "bucket", "left_semi").join(full.select("node", F.size("elements").alias("n"), *words), "node")
-            rest = scratch.keep(rest.select("bucket", "node", "label", "n", *words), "rest")
-            other = rest.select("bucket", *(F.col(c).alias(f"{c}_b") for c in rest.columns[1:]))
-            # Sets of n and m elements with d that only one holds share (n + m - d) / 2.
-            differ = reduce(add, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words])
-            may_link = (100 + percent) * (F.col("n") + F.col("n_b") - differ) >= 2 * percent * (F.col("n") + F.col("n_b"))
-            pairs = rest.join(other, "bucket").filter("label < label_b").filter(may_link).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
-        labels = merged(labels, verified(pairs))
-
-    labelled = classes.select("set_hash", "n_shingles", "node", "low").join(labels, "node", "left").select("set_hash", "n_shingles", "low", F.coalesce("label", "node").alias("label"))
-    lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
-    of_set = labelled.join(lowest, "label").select("set_hash", "n_shingles", "component_id")
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(of_set, ["set_hash", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).cast(kind)
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        one = now.groupBy("bucket").agg(F.min(order).alias("one"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket", F.col("one.node").alias("b"), F.col("one.label").alias("label_b"))
+        pairs = now.join(one, "bucket").filter("label <> label_b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        before, labels = labels, merged(labels, verified(pairs))
+        if labels is before:  # the next rounds would most likely add as little; the last one finds all
+            break
+
+    now = members.join(labels, "node")
+    sized = scratch.keep(now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members")).filter("low <> high").select("bucket", "members"), "open")
+    few = now.join(sized.filter(F.col("members") <= SMALL_BUCKET).select("bucket"), "bucket", "left_semi").join(full.select("node", F.size("elements").alias("n"), *words), "node")
+    few = scratch.keep(few.select("bucket", "node", "label", "n", *words), "few")
+    other = few.select("bucket", *(F.col(c).alias(f"{c}_b") for c in few.columns[1:]))
+    differ = reduce(add, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words])
+    found = few.join(other, "bucket").filter("label < label_b").filter(may_link(F.col("n"), F.col("n_b"), differ, percent)).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+    if not sized.filter(F.col("members") > SMALL_BUCKET).isEmpty():
+        crowd = scratch.keep(now.join(sized.filter(F.col("members") > SMALL_BUCKET).select("bucket"), "bucket", "left_semi").select("node", "label").distinct(), "crowd")
+        bits = full.select("node", F.size("elements").alias("n"), *words)
+        pairs = prefix_pairs(crowd, full, percent).join(bits.withColumnRenamed("node", "a"), "a").join(bits.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("n", *words))), "b")
+        found = found.unionByName(pairs.filter(may_link(F.col("n"), F.col("n_b"), differ, percent)).select("a", "b")).distinct()
+    labels = merged(labels, verified(found))
+
+    labelled = scratch.keep(classes.select("set_hash", "n_shingles", "node", "head").join(labels, "node", "left").select("set_hash", "n_shingles", "head", F.coalesce("label", "node").alias("label")), "labelled")
+    # Written before the join, so that partial minima go to its exchange and Spark can split a large label in the join.
+    heads = scratch.keep(labelled.groupBy("label").agg(F.min("head").alias("head")), "heads")
+    of_set = scratch.keep(labelled.drop("head").join(heads, "label").select("set_hash", "n_shingles", "head"), "of_set")
+    scratch.only(signed, of_set)
+    out = signed.select(*KEYS, "n_shingles", "set_hash").join(of_set, ["set_hash", "n_shingles"], "left")
+    return out.select(*KEYS, "n_shingles", F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), "head")
+
+
+def near_duplicates(docs: DataFrame, width: int, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept (whether that is its own; true where a component has no doc_id)."""
+    found = components_of(docs, width, percent, bands, rows)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def without_copies(docs: DataFrame, width: int, percent: int = 80) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (a null one is the largest), then the smallest hashes of its text. Of rows equal in doc_id and text one stays, and any one. Rows without words all stay."""
+    scratch = shared.Scratch(docs.sparkSession)
+    found = components_of(docs, width, percent, scratch=scratch).filter("head is not null")
+    first = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("t1") == F.col("head.t1")) & (F.col("t2") == F.col("head.t2"))
+    named = shared.fresh(docs, "mark_doc", "m1", "m2")
+    counted = found.groupBy(*KEYS).agg(F.bool_or(first).alias("first"), F.count(F.lit(1)).alias("n"))
+    marks = scratch.keep(counted.filter("not first or n > 1").select(*(F.col(a).alias(b) for a, b in zip(KEYS, named, strict=True)), F.col("first").alias("first_of_equal")), "marks")
+    t1, t2 = shared.fresh(docs, "t1", "t2")
+    own = ["doc_id", t1, t2]
+    keyed = docs.withColumns(dict(zip([t1, t2], shared.text_keys(), strict=True)))
+    single = keyed.join(marks, shared.same_row(keyed, own, marks, named), "left_anti").select(*docs.columns)
+    several = marks.filter("first_of_equal")
+    if several.isEmpty():
+        return single
+    equal = keyed.join(several, shared.same_row(keyed, own, several, named), "left_semi")
+    return single.unionByName(equal.dropDuplicates(own).select(*docs.columns))

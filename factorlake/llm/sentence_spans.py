@@ -2,15 +2,18 @@
 
 A sentence ends after a word that ends in ``.``, ``!``, ``?`` or the ideographic full stop (a closing quote or bracket may
 follow) and at each line's end. From every sentence a run starts: the fewest consecutive sentences, ``sentences`` at least,
-that hold ``least_words`` words or more. A sentence that alone has ``alone`` words or more is a run too. Runs are hashed (64 bits, over words with A-Z lower-cased, so white space between
-words doesn't matter) and joined over the whole corpus. A run's first occurrence is the one in the smallest doc_id, there at
-the smallest place; all sentences that any other occurrence covers are removed.
-
-Rows of one doc_id count as one document: runs they share repeat nothing. Null doc_ids come after all others, and count as
-one document too. Null text is the empty text and has no sentence. Documents with too few words have no run and stay as they
-are. An empty table gives an empty result.
-
-A run that a third of all documents hold is no hot task: its minimum and maximum are aggregated before the shuffle, and the
+that hold ``least_words`` words or more. A sentence that alone has ``alone`` words or more is a run too. Runs are hashed
+(64 bits, over words with A-Z lower-cased, so white space between words doesn't matter) and joined over the whole corpus. A
+run's first occurrence is the one in the first row that has it, there at the smallest place; all sentences that any other
+occurrence covers are removed.
+
+Every row is a document of its own. Rows stand in ascending doc_id order, null doc_ids last; rows of one doc_id (or of none)
+by two hashes of their texts. Of rows equal in doc_id and text any one comes first, and the others lose all sentences of their
+runs. Null text is the empty text and has no sentence. Documents with too few words have no run and stay as they are. Very
+long texts are read whole; what is removed from one is gathered by its own row, so it is bounded by the text. An empty table
+gives an empty result. Other columns stay as they are, whatever their names: added columns take names that are free.
+
+A run that a third of all documents hold is no hot task: its minimum and count are aggregated before the shuffle, and the
 join that follows has one row for it on the other side, so that Spark splits the large one.
 """
 
@@ -64,13 +67,16 @@ def runs(first: np.ndarray, row: np.ndarray, n_words: int, sentences: int, least
     return begin[order], until[order]
 
 
+KEYS = ["doc_id", "t1", "t2"]
+
+
 def spans(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, hash, sentence, until, again): each run of each row; again if the row has it before."""
+    """(doc_id, t1, t2, hash, sentence, until, again, opens): each run of each row; again if the row has it before, opens for the row's first. t1 and t2 are the text's hashes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, _, data, offsets in K.blocks(batch.column(1)):
+            for a, _, data, offsets in K.blocks(batch.column(3)):
                 starts, ends, row, h = K.word_hashes(data, offsets, K.WHITE)
                 first = sentence_starts(data, starts, ends, row)
                 doc = row[first]
@@ -80,63 +86,96 @@ def spans(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEAST_
                 _, one = np.unique(K.mix(span + doc[at].astype(np.uint64) * np.uint64(K._BASE)), return_index=True)
                 again = np.ones(len(at), bool)
                 again[one] = False
+                opens = np.ones(len(at), bool)
+                opens[1:] = doc[at[1:]] != doc[at[:-1]]
                 begin = np.searchsorted(doc, doc[at])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc[at] + a)), pa.array(K.to_signed(span)), pa.array((at - begin).astype(np.int32)), pa.array((until - begin).astype(np.int32)), pa.array(again)], ["doc_id", "hash", "sentence", "until", "again"])
+                where = pa.array(doc[at] + a)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(where) for k in range(3)), pa.array(K.to_signed(span)), pa.array((at - begin).astype(np.int32)), pa.array((until - begin).astype(np.int32)), pa.array(again), pa.array(opens)], [*KEYS, "hash", "sentence", "until", "again", "opens"])
 
-    return docs.select("doc_id", shared.text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, hash long, sentence int, until int, again boolean")
+    t1, t2 = shared.text_keys()
+    return docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), shared.text_of().alias("text")).mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, hash long, sentence int, until int, again boolean, opens boolean")
 
 
-def repeated(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, covered): for documents with any, the runs to remove as an array of (sentence, until)."""
-    kept = shared.Scratch(docs.sparkSession).keep(spans(docs, sentences, least_words), "spans")
+def repeated(docs: DataFrame, scratch: shared.Scratch, sentences: int = SENTENCES, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t1, t2, covered): for rows with any, the runs to remove as an array of (sentence, until); and (doc_id, t1, t2) of runs' rows that stand more than once."""
+    kept = scratch.keep(spans(docs, sentences, least_words), "spans")
     once = kept.filter("not again")
-    # Null doc_ids are one document after all others.
-    firsts = once.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
-    firsts = firsts.filter("first <> last or (unnamed and first is not null)").select("hash", "first")
-    later = once.join(firsts, "hash").filter("doc_id is null or doc_id <> first").select("doc_id", "sentence", "until")
-    found = later.unionByName(kept.filter("again").select("doc_id", "sentence", "until"))
-    return found.groupBy("doc_id").agg(F.collect_set(F.struct("sentence", "until")).alias("covered"))
+    often = once.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first")
+    # Of a row after the first doc_id, or else of one that may be the first.
+    many = scratch.keep(once.join(often, "hash").select(*KEYS, "hash", "sentence", "until", F.col("doc_id").eqNullSafe(F.col("first")).alias("leads")), "many")
+    leading = many.filter("leads")
+    text = F.struct("t1", "t2")
+    ties = leading.groupBy("hash").agg(F.min(text).alias("low"), F.max(text).alias("high")).filter("low <> high").select("hash", "low")
+    late = leading.join(ties, "hash").filter(text != F.col("low"))
+    found = [x.select(*KEYS, "sentence", "until") for x in (many.filter("not leads"), late, kept.filter("again"))]
+    marks = found[0].unionByName(found[1]).unionByName(found[2]).groupBy(*KEYS).agg(F.collect_set(F.struct("sentence", "until")).alias("covered"))
+    copies = kept.filter("opens").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*KEYS)
+    return marks, scratch.keep(copies, "copies")
 
 
 def without_repeats(docs: DataFrame, sentences: int = SENTENCES, least_words: int = LEAST_WORDS, only_changed: bool = False) -> DataFrame:
     """docs with what repeats cut out of text, and two columns more: n_sentences, n_removed. only_changed: rows that lost something."""
     shared.bound_batches(docs.sparkSession)
-    covered = repeated(docs, sentences, least_words)
-    doc, what = shared.fresh(docs, "covered_doc", "covered")
+    scratch = shared.Scratch(docs.sparkSession)
+    marks, copies = repeated(docs, scratch, sentences, least_words)
+    t1, t2, doc, m1, m2, number, later, what = shared.fresh(docs, "t1", "t2", "mark_doc", "m1", "m2", "number", "later", "covered")
     n_sentences, n_removed = shared.fresh(docs, "n_sentences", "n_removed")
-    joined = docs.join(covered.select(F.col("doc_id").alias(doc), F.col("covered").alias(what)), docs["doc_id"].eqNullSafe(F.col(doc)), "inner" if only_changed else "left").drop(doc)
+    own, others = ["doc_id", t1, t2], [doc, m1, m2]
+    keyed = docs.withColumns(dict(zip([t1, t2], shared.text_keys(), strict=True)))
+    marks = marks.select(*(F.col(a).alias(b) for a, b in zip(KEYS, others, strict=True)), F.col("covered").alias(what))
+    if copies.isEmpty():
+        joined = keyed.withColumn(later, F.lit(False)).join(marks, shared.same_row(keyed, own, marks, others), "inner" if only_changed else "left")
+    else:
+        copies = copies.toDF(*others)
+        on = shared.same_row(keyed, own, copies, others)
+        # Numbers of equal rows are fixed by being written.
+        equal = scratch.keep(keyed.join(copies, on, "left_semi").withColumn(number, F.monotonically_increasing_id()), "equal")
+        lowest = equal.groupBy(*own).agg(F.min(number).alias(what)).toDF(*others, what)
+        ranked = equal.join(lowest, shared.same_row(equal, own, lowest, others)).withColumn(later, F.col(number) != F.col(what))
+        single = keyed.join(copies, on, "left_anti").withColumn(later, F.lit(False))
+        rows = single.unionByName(ranked.select(*single.columns))
+        joined = rows.join(marks, shared.same_row(rows, own, marks, others), "left")
+        joined = joined.filter(F.col(what).isNotNull() | F.col(later)) if only_changed else joined
+    joined = joined.select(*docs.columns, later, what)
     schema = StructType([*docs.schema.fields, StructField(n_sentences, LongType()), StructField(n_removed, LongType())])
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, marks = batch.column(text_at), batch.column(batch.num_columns - 1)
+            column, copy, marks = batch.column(text_at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             bounds, flat = np.asarray(marks.offsets, np.int64), marks.flatten()
             size = np.diff(bounds)
             size = np.where(marks.is_valid().to_numpy(zero_copy_only=False), size, 0)
             since = np.asarray(flat.field(0), np.int64), np.asarray(flat.field(1), np.int64)
             at = np.concatenate([[0], np.cumsum(size)])
+            copy = copy.to_numpy(zero_copy_only=False)
             texts, total, removed = [], np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for a, b, data, offsets in K.blocks(column):
                 starts, ends, row = K.words(data, offsets, K.WHITE)
                 first = sentence_starts(data, starts, ends, row)
                 begin = np.searchsorted(row[first], np.arange(b - a + 1))
+                every = runs(first, row[first], len(starts), sentences, least_words) if copy[a:b].any() else None
                 for i in range(b - a):
                     lo, hi = int(at[a + i]), int(at[a + i + 1])
                     total[a + i] = begin[i + 1] - begin[i]
-                    if lo == hi:
+                    if lo == hi and not copy[a + i]:
                         texts.append(column[a + i].as_py())
                         continue
                     change = np.zeros(int(total[a + i]) + 1, np.int64)
-                    np.add.at(change, since[0][lo:hi], 1)
-                    np.add.at(change, since[1][lo:hi], -1)
+                    if copy[a + i]:
+                        x, y = np.searchsorted(every[0], begin[i : i + 2])
+                        np.add.at(change, every[0][x:y] - begin[i], 1)
+                        np.add.at(change, every[1][x:y] - begin[i], -1)
+                    else:
+                        np.add.at(change, since[0][lo:hi], 1)
+                        np.add.at(change, since[1][lo:hi], -1)
                     gone = np.cumsum(change)[:-1] > 0
                     removed[a + i] = gone.sum()
                     cut = np.append(starts[first[begin[i] : begin[i + 1]]], offsets[i + 1])
                     parts = [data[offsets[i] : cut[0]], *(data[cut[k] : cut[k + 1]] for k in np.flatnonzero(~gone))]
                     texts.append(np.concatenate(parts).tobytes().decode("utf-8", "replace"))
-            columns = [*batch.columns[:-1], pa.array(total), pa.array(removed)]
+            columns = [*batch.columns[:-2], pa.array(total), pa.array(removed)]
             columns[text_at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], n_sentences, n_removed])
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-2], n_sentences, n_removed])
 
     return joined.mapInArrow(run, schema)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,11 +35,15 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+_within: ContextVar[str | None] = ContextVar("within", default=None)
+
+
 class Scratch:
-    """Tables written to the shared folder, which cut lineage and outlive lost executors. drop() removes them early."""
+    """Tables written to the shared folder, which cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+        self.spark, self.folder, self.n = spark, f"{_within.get() or shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+        self.kept: list[tuple[DataFrame, str]] = []
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -45,12 +52,33 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         at = self.path(name)
         df.write.option("compression", "zstd").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        self.kept.append((out, at))
+        return out
+
+    def only(self, *wanted: DataFrame) -> None:
+        """Removes all kept tables but the wanted ones."""
+        for df, at in self.kept:
+            if not any(df is w for w in wanted):
+                remove(self.spark, at)
+        self.kept = [(df, at) for df, at in self.kept if any(df is w for w in wanted)]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-    def drop(self, path: str | None = None) -> None:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path or self.folder)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators keep within are removed at the end: what comes from them must be written by then."""
+    folder = f"{_within.get() or shared_folder(spark)}/swept-{uuid.uuid4().hex}"
+    token = _within.set(folder)
+    try:
+        yield
+    finally:
+        _within.reset(token)
+        remove(spark, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,3 +98,18 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
 
 def text_of(column: str = "text"):
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
+
+
+def text_keys(column: str = "text") -> list[Column]:
+    """Two independent 64-bit hashes of the text: with doc_id they name a row, up to rows that are equal in both."""
+    text = text_of(column)
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
+def same_row(left: DataFrame, left_names: list[str], right: DataFrame, right_names: list[str]) -> Column:
+    """Whether doc_id (which may be null) and both hashes are equal."""
+    (d, *hashes), (e, *others) = left_names, right_names
+    on = left[d].eqNullSafe(right[e])
+    for a, b in zip(hashes, others, strict=True):
+        on = on & (left[a] == right[b])
+    return on
