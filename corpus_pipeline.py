@@ -1,6 +1,9 @@
 """A corpus from raw documents to packed sequences, in stages that each read what the one before wrote.
 
-Every stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents.
+Every stage takes (spark, docs, sf_dir) and gives a DataFrame; all but the last give the columns of documents, under any
+names those may have. Each judges every row by itself: rows with a null doc_id or one that repeats are rows like others.
+Null and empty texts score as an empty window, have no copies, lose nothing, hold no benchmark item and are packed as the
+end id alone; very long texts are read whole. Of rows equal in doc_id and text one stays. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factorlake.llm import decontamination, near_duplicates, packing, sentence_spans, toxicity
 from factorlake.llm.queries import tokenizer_path
-from factorlake.llm.shared import Scratch, fresh, table
+from factorlake.llm.shared import Scratch, remove, swept, table
 
 TOXIC_FROM = 0.7
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -24,11 +27,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest doc_id."""
-    found = near_duplicates.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    (name,) = fresh(docs, "copy_id")
-    copies = found.filter("not kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(copies, docs["doc_id"] == copies[name], "left_anti")
+    """One row of each group of near copies stays, that of the smallest doc_id; one of rows that are equal."""
+    return near_duplicates.without_copies(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark), None
     for name, stage in STAGES:
         path = scratch.path(name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with swept(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
