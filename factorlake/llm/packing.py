@@ -5,8 +5,10 @@ dealt to groups of a bounded number of documents by a hash. Within a group the r
 sequence of the lowest estimated cost (linear plus quadratic in each piece, as attention costs) with enough room left.
 Rests that fit nowhere whole are cut to fill what room is left, so a group pads less than one sequence in all.
 
-Null text is the empty text: the end id alone. Repeated rows are packed each by itself. An empty table gives no rows.
-Other columns are not read. No group depends on a key's frequency: it is a hash of document and start.
+Null text is the empty text: the end id alone. Repeated rows are packed each by itself; null doc_ids are ids like others. An
+empty table gives no rows. Very long texts are cut like others, piece by piece. Ties go by doc_id, then by the ids' crc32.
+Other columns are not read. No group depends on a key's frequency: it is a hash of doc_id, ids, start, and of how many equal
+rows the same input partition had before, with that partition's number.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,12 +66,17 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, w
     id_type = "<u2" if T.load(tokenizer).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get(), {}
+        part = np.uint64(K._MASK & (task.partitionId() + 1) * 0xD6E8FEB86659FD93)
         for batch in batches:
             rows: list[tuple[int, int, int, int, int, int, bytes | None]] = []
             keys = batch.column(2).to_pylist()
             for i, ids in T.encoded(batch.column(1), tokenizer, end_id):
                 whole = len(ids) // length * length
                 key = K.mix(np.array([keys[i] & K._MASK], np.uint64) + np.uint64(zlib.crc32(ids)))
+                equal = int(key[0])
+                seen[equal] = seen.get(equal, 0) + 1  # whatever the rows' order, so a task that runs again deals alike
+                key = K.mix(key + part + np.uint64(seen[equal]))
                 for start in range(0, len(ids), length):
                     piece = ids[start : start + length]
                     full = start < whole

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import importlib.util
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,11 +22,9 @@ LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spa
 
 def tokenizer_path() -> str:
     """The public byte-level BPE vocabulary installed beside Python."""
-    if importlib.util.find_spec("public_tokenizers"):
-        import public_tokenizers
+    import public_tokenizers
 
-        return public_tokenizers.path("byte_bpe_50k.json")
-    return "/opt/tokenizers/byte_bpe_50k.json"
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +139,47 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, s.doc_i
 """
 
 
-def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_snapshots": _OP1, "op2_url_cascade": _OP2, "op7_circulant_minhash": _OP7}
+_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _list(words: Iterable[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def _op5() -> str:
+    phrases = ", ".join(f"({_list(p.split())}, '{label}')" for p, label in licenses.PHRASES.items())
+    templates = ", ".join(f"('{name}', {_list(sorted(set(licenses.words_in_order(text))))}, {len(licenses.words_in_order(text))})" for name, text in licenses.TEMPLATES.items())
+    return f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents
+), split AS (
+  SELECT r, doc_id, x, regexp_extract_all(x, {_WORDS}) AS words FROM texts
+), phrases(phrase, label) AS (
+  VALUES {phrases}
+), templates(name, own, n) AS (
+  VALUES {templates}
+), places AS (
+  SELECT r, label, unnest(list_filter(range(1, len(words) - len(phrase) + 2), lambda i: words[i : i + len(phrase) - 1] = phrase)) - 1 AS place FROM split, phrases
+), base AS (
+  SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS found FROM places GROUP BY r
+), may AS (
+  SELECT r, x, words, name, own, n, ceil(len(own) * {licenses.THRESHOLD} / 100) AS needed FROM split, templates WHERE len(list_intersect(words, own)) * 100 >= {licenses.THRESHOLD} * len(own)
+), lines AS (
+  SELECT DISTINCT r, i, len(regexp_extract_all(line, {_WORDS})) AS c FROM (SELECT r, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS i FROM (SELECT DISTINCT r, x FROM may))
+), starts AS (
+  SELECT r, c, sum(c) OVER (PARTITION BY r ORDER BY i) - c AS s FROM lines
+), held AS (
+  SELECT r, name, max(len(list_intersect(words[s + 1 : s + c + n - 1], own)) / len(own)) AS share, max(len(list_intersect(words[s + 1 : s + c + n - 1], own))) AS most, any_value(needed) AS needed
+  FROM may JOIN starts USING (r) WHERE c > 0 GROUP BY r, name
+), best AS (
+  SELECT r, list(name) AS templates, max(share) AS share FROM held WHERE most >= needed GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(coalesce(found, []), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(found, []), coalesce(templates, [])))), ',') AS labels,
+  CAST(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END AS DOUBLE) AS score
+FROM split LEFT JOIN base USING (r) LEFT JOIN best USING (r)
+"""
 
 
+def oracle_sql() -> dict[str, str]:
+    return {"op1_chat_snapshots": _OP1, "op2_url_cascade": _OP2, "op5_license_scan": _op5(), "op7_circulant_minhash": _OP7}

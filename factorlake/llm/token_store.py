@@ -5,7 +5,9 @@ Layout: one row per piece of a document, ``row`` (the document's place in the or
 indexes and Bloom filters on doc_id let a reader skip stripes and row groups, and readers split files by stripe.
 
 Null text is the empty text, whose document is the end id alone. Null doc_ids sort first. Repeated rows are documents of
-their own; rows of one doc_id are ordered by text. An empty table writes no rows. Other columns are not read.
+their own; rows of one doc_id are ordered by two hashes of their texts. Ranges are cut by doc_id, those hashes and the input's
+partition, so that null or repeated doc_ids, however many, are no single task. Very long texts take several rows. An empty
+table writes no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -56,7 +58,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, piece: in
                 yield out()
 
     schema = f"row long, doc_id {kind.simpleString()}, piece int, ids array<int>"
-    ordered = docs.select("doc_id", shared.text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    t1, t2 = shared.text_keys()
+    keyed = docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), F.spark_partition_id().alias("of"), shared.text_of().alias("text"))
+    ordered = keyed.repartitionByRange("doc_id", "t1", "t2", "of").sortWithinPartitions("doc_id", "t1", "t2", "of")
     return ordered.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema)
 
 

@@ -2,8 +2,9 @@
 
 ``WordCache`` splits texts into the pieces that the tokenizer itself would split them into (a letter, digit, other or white
 space run, with one leading space), looks the pieces up in a bounded cache of this process by a 64-bit hash and lets the
-tokenizers library encode those that are missing. Texts with characters past U+024F, or with white space other than
-``space \\t \\n \\r``, go through the library as they are, so the ids are those of the library for every text.
+tokenizers library encode those that are missing. Texts with characters past U+024F, with white space other than
+``space \\t \\n \\r`` or with a string that the vocabulary adds as a token of its own (``<|endoftext|>``) go through the library
+as they are, so the ids are those of the library with add_special_tokens=False for every text.
 """
 
 from __future__ import annotations
@@ -49,13 +50,11 @@ _SPREAD = K.mix(np.arange(7, _LIMIT + 8, dtype=np.uint64) * np.uint64(0xD6E8FEB8
 
 
 def load(path: str):
-    """The tokenizer of the file, in one thread; strings of special tokens in a text are ordinary text."""
+    """The tokenizer of the file, in one thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 def boundaries(c: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -88,6 +87,7 @@ class WordCache:
         self.tokenizer, self.slots, self.pool_size = load(path), slots, pool
         before = self.tokenizer.pre_tokenizer
         self.by_words = type(self.tokenizer.model).__name__ == "BPE" and self.tokenizer.normalizer is None and type(before).__name__ == "ByteLevel" and not before.add_prefix_space and before.use_regex
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self._clear()
 
     def _clear(self) -> None:
@@ -114,7 +114,8 @@ class WordCache:
         n_docs = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(n_docs + 1, np.int64)
-        text = data.tobytes().decode("utf-8", "replace")
+        raw = data.tobytes()
+        text = raw.decode("utf-8", "replace")
         c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         lead = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
@@ -125,6 +126,12 @@ class WordCache:
         unsafe = np.zeros(len(c) + 1, np.int64)
         np.cumsum(kind == _UNSAFE, out=unsafe[1:])
         odd = unsafe[at[1:]] > unsafe[at[:-1]]
+        for token in self.added:
+            found = raw.find(token)
+            while found >= 0:
+                doc = int(np.searchsorted(offsets, found, "right")) - 1
+                odd[doc] = True
+                found = raw.find(token, max(found + 1, int(offsets[doc + 1]) - len(token) + 1))
         if odd.any():
             return self._mixed(data, offsets, odd)
         first = np.zeros(len(c) + 1, bool)

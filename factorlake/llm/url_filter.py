@@ -6,11 +6,14 @@ the first level that lacks it is an even one (or none lacks it and the last is o
 the corpus whose keys the cascade was built over, without a join.
 
 The corpus's keys are scanned in place: only those that level 1 takes for listed are gathered, about 0.7 times as many as
-listed ones at level 1's error rate, whatever the corpus's size. A list whose filter would pass ``MOST_BYTES`` is refused by
-the cascade; judge() then uses a join.
-
-Keys here are rules (a verdict, a host and a path's beginning) and listed host labels. Null urls and urls without ``://`` have
-an empty host and path, fit no rule and are allowed. Rows that repeat are judged each. Other columns are not read.
+listed ones at level 1's error rate, whatever the corpus's size. A list whose filter would pass ``MOST_BYTES`` is split by the
+keys' hashes into several cascades; each is one pass over the pages, written before the next is built, so one is held at a time.
+
+Keys here are rules (a verdict, a host and a path's beginning) and listed host labels. Of a host only the last labels count
+for rules, as many as the longest rule has, so a host's length costs no more than reading it. Null urls and urls without
+``://`` have an empty host and path, fit no rule and are allowed, as are empty urls. Rows that repeat are judged each, and null
+page_ids are ids like others. Of rules that fit the longest wins; ties go by name. An empty table gives no rows. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from . import textkernel as K
 
 MOST_BYTES = 64 << 20
@@ -74,16 +78,18 @@ def salted(keys: np.ndarray, level: int) -> np.ndarray:
     return K.mix(keys ^ np.uint64(level * 0x9E3779B97F4A7C15 & K._MASK))
 
 
-def first_level(listed: np.ndarray, corpus_size: int) -> Bloom:
-    error = min(0.5, math.sqrt(0.5) * max(1, len(listed)) / max(1, corpus_size))
-    if len(listed) * 1.4427 * math.log2(1 / error) > MOST_BYTES * 8:
-        raise ValueError("the list is too long for a broadcast filter")
-    return Bloom.of(salted(listed, 1), error)
+def level_error(listed: int, corpus_size: int) -> float:
+    return min(0.5, math.sqrt(0.5) * max(1, listed) / max(1, corpus_size))
+
+
+def parts_of(listed: int, corpus_size: int) -> int:
+    """Into how many cascades a list is split."""
+    return max(1, math.ceil(listed * 1.4427 * math.log2(1 / level_error(listed, corpus_size)) / (MOST_BYTES * 8)))
 
 
 def cascade(listed: np.ndarray, keys: DataFrame, corpus_size: int) -> Cascade:
     """keys: a column ``keys`` of arrays of long, all keys of the corpus; listed: distinct uint64."""
-    top = Cascade([first_level(listed, corpus_size)])
+    top = Cascade([Bloom.of(salted(listed, 1), level_error(len(listed), corpus_size))])
     if not len(listed):
         return Cascade([])
     given = keys.sparkSession.sparkContext.broadcast(top.levels[0])
@@ -132,58 +138,52 @@ def judge(pages: DataFrame, rules: Sequence[Rule], labels: Sequence[str]) -> Dat
     rules = sorted(set(rules), key=lambda r: (-len(r.name), r.name, r.verdict))  # the longest first; ties by name
     spark = pages.sparkSession
     split = with_host_and_path(pages.select("page_id", "url"))
-    parts = F.split("host", r"\.")
-    split = split.withColumn("parts", parts)
-    tails = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, F.size("parts")), "."))
-    split = split.withColumn("tails", tails)
+    # The last labels of a host, as many as some rule's host has. A shorter host stands for itself and equals no such rule.
+    depths = sorted({r.host.count(".") + 1 for r in rules})
+    tails = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in depths])) if depths else F.array().cast("array<string>")
+    split = split.withColumn("parts", F.split("host", r"\.")).withColumn("tails", tails)
 
     def keys_of(kind: str, n: int) -> Column:
         return F.transform("tails", lambda t: _key(kind, t, F.substring("path", 1, n)))
 
     candidates = [keys_of(kind, n) for kind in ("allow", "block") for n in lengths]
-    keyed = split.select("page_id", "host", "path", F.concat(F.transform("parts", lambda x: _key("label", x)), *candidates).alias("keys"), F.size("parts").alias("n"))
+    keyed = split.select("page_id", "host", "path", F.concat(F.transform("parts", lambda x: _key("label", x)), *candidates).alias("keys"))
     listed = [("rule", i, r.verdict, r.host, r.path) for i, r in enumerate(rules)] + [("label", i, "label", x, "") for i, x in enumerate(sorted(set(labels)))]
     named = spark.createDataFrame(listed, "what string, i int, kind string, host string, path string").select("what", "i", F.xxhash64(F.concat("kind", F.lit("\t"), "host", F.lit("\t"), "path")).alias("key")).collect()
     rule_of = {r["key"]: r["i"] for r in named if r["what"] == "rule"}
     every = np.unique(np.array([r["key"] for r in named], np.int64).view(np.uint64))
     # Keys of the corpus, at most: rows times keys of a row. Only the first level's error rate depends on it.
     size = keyed.agg(F.sum(F.size("keys"))).first()[0] or 0
-    try:
-        held = cascade(every, keyed, size)
-    except ValueError:
-        return _joined(keyed, rules, named)
-    given, names, verdicts = spark.sparkContext.broadcast(held), [r.name for r in rules], [r.verdict for r in rules]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            at, flat = np.asarray(lists.offsets, np.int64), np.asarray(lists.values, np.int64)
-            hit = np.flatnonzero(given.value.has(flat[at[0] : at[-1]].view(np.uint64))) + at[0]
-            best = np.full(batch.num_rows, len(names))
-            blocked = np.zeros(batch.num_rows, bool)
-            rows = np.searchsorted(at, hit, "right") - 1
-            for place, row in zip(hit.tolist(), rows.tolist(), strict=True):
-                rule = rule_of.get(int(flat[place]))
-                if rule is None:
-                    blocked[row] = True
-                else:
-                    best[row] = min(best[row], rule)
-            rule = [names[i] if i < len(names) else None for i in best.tolist()]
-            verdict = [verdicts[i] if i < len(names) else "block" if b else "allow" for i, b in zip(best.tolist(), blocked.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
-
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return keyed.select("page_id", "host", "path", "keys").mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
-
-
-def _joined(keyed: DataFrame, rules: Sequence[Rule], named: list) -> DataFrame:
-    """For lists past the broadcast bound: the same by a join of keys. Equal rows are counted, so that each comes back."""
-    spark = keyed.sparkSession
-    table = spark.createDataFrame([(r["key"], r["i"] if r["what"] == "rule" else None) for r in named], "key long, i int")
-    names = spark.createDataFrame([(i, r.name, r.verdict) for i, r in enumerate(rules)], "i int, rule string, ruled string")
-    own = ["page_id", "host", "path"]
-    distinct = keyed.groupBy(*own).agg(F.count(F.lit(1)).alias("times"), F.first("keys").alias("keys"))
-    pages = distinct.select(*own, "times", F.explode(F.array_distinct("keys")).alias("key"))
-    found = pages.join(table.withColumn("listed", F.lit(True)), "key", "left").groupBy(*own).agg(F.first("times").alias("times"), F.min("i").alias("i"), F.max(F.col("listed") & F.col("i").isNull()).alias("blocked"))
-    verdict = F.coalesce("ruled", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict")
-    return found.join(names, "i", "left").select(*own, "rule", verdict, F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy")).drop("copy")
+    names, verdicts = [r.name for r in rules], [r.verdict for r in rules]
+    state = keyed.select("page_id", "host", "path", "keys", F.lit(len(names)).alias("best"), F.lit(False).alias("blocked"))
+    parts = parts_of(len(every), size)
+    scratch = shared.Scratch(spark) if parts > 1 else None
+
+    def marked(state: DataFrame, own: np.ndarray) -> DataFrame:
+        given = spark.sparkContext.broadcast(cascade(own, keyed, size))  # MOST_BYTES for the first level, the others are smaller
+        part = {k: rule_of.get(k) for k in K.to_signed(own).tolist()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(3)
+                at, flat = np.asarray(lists.offsets, np.int64), np.asarray(lists.values, np.int64)
+                hit = np.flatnonzero(given.value.has(flat[at[0] : at[-1]].view(np.uint64))) + at[0]
+                best, blocked = batch.column(4).to_numpy().copy(), batch.column(5).to_numpy(zero_copy_only=False).copy()
+                rows = np.searchsorted(at, hit, "right") - 1
+                for place, row in zip(hit.tolist(), rows.tolist(), strict=True):
+                    key = int(flat[place])
+                    if part.get(key) is None:
+                        blocked[row] = True
+                    else:
+                        best[row] = min(best[row], part[key])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(best, pa.int32()), pa.array(blocked)], names=batch.schema.names)
+
+        return state.mapInArrow(run, state.schema)
+
+    for i in range(parts):
+        state = marked(state, every if parts == 1 else every[K.mix(every) % np.uint64(parts) == np.uint64(i)])
+        state = scratch.keep(state, "state") if scratch else state
+    no = F.lit(None).cast("string")
+    rule = F.get(F.array(*[F.lit(x) for x in names]), F.col("best")) if names else no
+    ruled = F.get(F.array(*[F.lit(x) for x in verdicts]), F.col("best")) if names else no
+    return state.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
