@@ -46,19 +46,51 @@ def first_per_subset(df: DataFrame, subset: str, order: str) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, subset: str, id_column: str, val_fraction: float = 0.05, seed: int = 42) -> DataFrame:
-    """df with split: ceil(n * fraction) random rows of each subset are val, the others train. Ranks come from a sort by hash within the subset."""
-    rank = F.row_number().over(Window.partitionBy(subset).orderBy(shuffle_key(F.col(id_column), seed), id_column))
-    sizes = df.groupBy(subset).agg(F.ceil(F.count("*") * F.lit(float(val_fraction))).alias("n_val"))
-    # One row for each subset; Spark broadcasts it if it is small.
-    return df.withColumn("rank", rank).join(sizes, subset).withColumn("split", F.when(F.col("rank") <= F.col("n_val"), "val").otherwise("train")).drop("rank", "n_val")
+    """df with split: ceil(n * fraction) random rows of each subset are val, the others train: those of the smallest hashes, ties by id.
+
+    Rows are counted by subset and the hash's first 16 bits. Running counts name the one such bucket of each subset that the
+    border lies in; only its rows are ranked, so a subset of any size is no single task."""
+    key = shuffle_key(F.col(id_column), seed)
+    bucket = F.substring(key, 1, 4)
+    counted = df.groupBy(F.col(subset).alias("_of"), bucket.alias("_bucket")).agg(F.count("*").alias("n"))
+    # 65,536 rows a subset at most.
+    by = Window.partitionBy("_of").orderBy("_bucket")
+    running = counted.withColumn("until", F.sum("n").over(by)).withColumn("n_val", F.ceil(F.sum("n").over(Window.partitionBy("_of")) * F.lit(float(val_fraction))))
+    border = running.filter("until >= n_val and until - n < n_val").select("_of", F.col("_bucket").alias("_border"), (F.col("n_val") - F.col("until") + F.col("n")).alias("_left"))
+    rows = df.join(border, df[subset].eqNullSafe(border["_of"]), "left").withColumn("_bucket", bucket)  # a row for each subset: Spark broadcasts it if it is small
+    clear = rows.filter("_border is null or _bucket <> _border").withColumn("split", F.when(F.col("_bucket") < F.col("_border"), "val").otherwise("train"))
+    rank = F.row_number().over(Window.partitionBy("_of").orderBy(key, id_column))
+    close = rows.filter("_bucket = _border").withColumn("split", F.when(rank <= F.col("_left"), "val").otherwise("train"))
+    return clear.unionByName(close).select(*df.columns, "split")
+
+
+def split_record(split: DataFrame, subset: str, val_fraction: float, seed: int, per_row_tokens: int) -> dict:
+    """Counts by subset. The validation rows' ids are a table of their own."""
+    counts = {(r["split"], r[subset]): r["count"] for r in split.groupBy("split", subset).count().collect()}
+    by = lambda which: {str(s): n for (w, s), n in sorted(counts.items(), key=str) if w == which}
+    return {"seed": seed, "val_frac": val_fraction, "per_row_tokens": per_row_tokens, "train_rows": sum(by("train").values()), "val_rows": sum(by("val").values()), "train_per_subset": by("train"), "val_per_subset": by("val")}
 
 
-def split_record(split: DataFrame, subset: str, id_column: str, val_fraction: float, seed: int, per_row_tokens: int) -> dict:
-    """Counts, and the ids of the validation rows (a few per cent of the rows of one run)."""
-    counts = {(r["split"], r[subset]): r["count"] for r in split.groupBy("split", subset).count().collect()}
-    by = lambda which: {s: n for (w, s), n in sorted(counts.items()) if w == which}
-    val = [r[0] for r in split.filter("split = 'val'").select(id_column).orderBy(id_column).collect()]
-    return {"seed": seed, "val_frac": val_fraction, "per_row_tokens": per_row_tokens, "train_rows": sum(by("train").values()), "val_rows": sum(by("val").values()), "train_per_subset": by("train"), "val_per_subset": by("val"), "val_global_rows": val}
+def head(df: DataFrame, n: int, id_column: str) -> DataFrame:
+    """The rows numbered below n: a filter that reaches the scan, not a limit."""
+    return df.filter(F.col(id_column) < n)
+
+
+def row_range(df: DataFrame, start: int, stop: int, id_column: str) -> DataFrame:
+    """The rows numbered from start to stop - 1."""
+    return df.filter((F.col(id_column) >= start) & (F.col(id_column) < stop))
+
+
+def with_names(rows: DataFrame, vocabulary: DataFrame, token: str = "token_id", name: str = "token") -> DataFrame:
+    """Rows with their token's string, null for ids that the vocabulary (token_id, token) lacks."""
+    known = vocabulary.select(F.col("token_id").alias("_id"), F.col("token").alias(name))
+    return rows.join(known, rows[token] == known["_id"], "left").drop("_id")
+
+
+def weighted_rows(rows: DataFrame, weights: DataFrame, token: str = "token", otherwise: float = 1.0) -> DataFrame:
+    """Rows with the weight of their token, for a weighted sample."""
+    known = weights.select(F.col("token").alias("_token"), "weight")
+    return rows.join(known, rows[token] == known["_token"], "left").drop("_token").withColumn("weight", F.coalesce("weight", F.lit(otherwise)))
 
 
 def token_rows(df: DataFrame, ids: Column, *keep: str) -> DataFrame:

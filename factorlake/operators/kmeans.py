@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import mixture
 from .corpus import random_rows, weighted_sample
-from .mixture import lists, map_vectors, vectors
+from .mixture import lists, map_vectors, shaped, vectors
 
 
 def orthonormal_projector(d: int, to: int, seed: int = 0) -> np.ndarray:
@@ -27,14 +28,14 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray, metric: str = "euclidean", block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-    """(index, cost): the first of equally near centroids; cost is the squared distance or 1 - cosine."""
+    """(index, cost): the first of equally near centroids; cost is the squared distance or 1 - cosine. A row with NaN has -1 and infinity."""
     if metric == "cosine":
         x, c = unit(x), unit(c)
-    best, at = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+    best, at = np.full(len(x), np.inf), np.full(len(x), -1)
     for a in range(0, len(c), block):
         own = c[a : a + block]
         cost = (1 - x @ own.T).clip(0) if metric == "cosine" else ((x * x).sum(axis=1)[:, None] + (own * own).sum(axis=1) - 2 * x @ own.T).clip(0)
-        i = cost.argmin(axis=1)
+        i = cost.argmin(axis=1)  # of NaN if there is any, and NaN is never better
         low = cost[np.arange(len(x)), i]
         better = low < best
         best[better], at[better] = low[better], a + i[better]
@@ -84,45 +85,88 @@ def lloyd(x: np.ndarray, k: int, metric: str = "euclidean", iterations: int = 20
     return best
 
 
-def assign(df: DataFrame, centroids: np.ndarray, column: str = "x", metric: str = "euclidean", projector: np.ndarray | None = None) -> DataFrame:
-    """df with cluster and cost. Centroids (K x D numbers) are broadcast; with a projector, distances are those of projections."""
-    given = df.sparkSession.sparkContext.broadcast((centroids if projector is None else centroids @ projector, projector))
+#: Numbers of a vector that are added up by one row of an aggregation.
+SLICE = 64
+
 
-    def kernel(x):
-        c, r = given.value
-        return nearest(x if r is None else x @ r, c, metric) if len(x) else (np.zeros(0, np.int64), np.zeros(0))
+def _blocks(centroids: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of centroids that fit a broadcast."""
+    step = max(1, mixture.BROADCAST_BYTES // (8 * centroids.shape[1]))
+    return [(a, min(len(centroids), a + step)) for a in range(0, len(centroids), step)]
 
-    return map_vectors(df, column, kernel, "cluster long, cost double")
+
+def assign(df: DataFrame, centroids: np.ndarray, column: str = "x", metric: str = "euclidean", projector: np.ndarray | None = None) -> DataFrame:
+    """df with cluster and cost (-1 and infinity for a null vector). With a projector, distances are those of projections. Centroids go out in blocks that fit a broadcast, each a map that keeps the nearer of what was and its own."""
+    taken = {c.lower() for c in df.columns}
+    if taken & {"cluster", "cost"}:
+        raise ValueError("df has a column cluster or cost")
+    c = centroids if projector is None else centroids @ projector
+    out = df
+    for a, b in _blocks(c):
+        given = df.sparkSession.sparkContext.broadcast((c[a:b], projector))
+
+        def kernel(x, *was, given=given, a=a):
+            own, r = given.value
+            x = shaped(x, centroids.shape[1])
+            at, cost = nearest(x if r is None else x @ r, own, metric)
+            at = np.where(at < 0, -1, at + a)
+            if was:
+                kept = was[0][:, 1] <= cost
+                at, cost = np.where(kept, was[0][:, 0].astype(np.int64), at), np.where(kept, was[0][:, 1], cost)
+            return at, cost
+
+        if not a:
+            out = map_vectors(df, column, kernel, "cluster long, cost double")
+        else:
+            before = out.withColumn("_was", F.array(F.col("cluster").cast("double"), "cost")).drop("cluster", "cost")
+            out = map_vectors(before, column, kernel, "cluster long, cost double", ("_was",)).drop("_was")
+    return out
+
+
+def added_up(parts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, part, sums): rows (keys, part, sums of SLICE numbers) added up in the executors."""
+    added = parts.groupBy(*keys, "part").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(SLICE)])
+    return added.select(*keys, "part", F.array(*[f"s{i}" for i in range(SLICE)]).alias("sums"))
+
+
+def slices(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, part, (rows, SLICE) numbers) of values (keys, n), filled up with 0."""
+    n = -(-values.shape[1] // SLICE)
+    filled = np.zeros((len(values), n * SLICE))
+    filled[:, : values.shape[1]] = values
+    return np.repeat(keys, n), np.tile(np.arange(n), len(keys)), filled.reshape(-1, SLICE)
 
 
 def means(df: DataFrame, centroids: np.ndarray, column: str = "x", metric: str = "euclidean", projector: np.ndarray | None = None, normalise: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
-    """(sums, counts, inertia) by nearest centroid: each partition sends one partial row for each cluster it has."""
+    """(sums, counts, inertia) by nearest centroid. Each partition sends its sums in slices, which are added up in the executors; the driver gets K (D + 2) numbers."""
     k, d = centroids.shape
-    given = df.sparkSession.sparkContext.broadcast((centroids if projector is None else centroids @ projector, projector))
+    assigned = assign(df.select(column), centroids, column, metric, projector)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, r = given.value
-        sums, n, cost = np.zeros((k, d)), np.zeros(k, np.int64), np.zeros(k)
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            x = vectors(batch.column(0))
-            if not len(x):
+            at, cost = (batch.column(i).to_numpy() for i in (1, 2))
+            there = at >= 0
+            if not there.any():
                 continue
-            at, own = nearest(x if r is None else x @ r, c, metric)
-            np.add.at(sums, at, unit(x) if normalise else x)
-            n += np.bincount(at, minlength=k)
-            cost += np.bincount(at, own, k)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(cost[some]), lists(sums[some])], ["k", "n", "cost", "sums"])
-
-    parts = df.select(column).mapInArrow(partial, "k long, n long, cost double, sums array<double>")
-    added = parts.groupBy("k").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(d)]) if d <= 128 else parts
-    sums, n, inertia = np.zeros((k, d)), np.zeros(k, np.int64), 0.0
-    for r in added.toLocalIterator():
-        row = [r[f"s{i}"] for i in range(d)] if d <= 128 else r["sums"]
-        sums[r["k"]] += row
-        n[r["k"]] += r["n"]
-        inertia += r["cost"]
-    return sums, n, inertia
+            x = vectors(batch.column(0))[there]
+            own, which = np.unique(at[there], return_inverse=True)
+            new = np.zeros((len(own), d + 2))
+            np.add.at(new[:, 2:], which, unit(x) if normalise else x)
+            new[:, 0], new[:, 1] = np.bincount(which), np.bincount(which, cost[there])
+            for key, row in zip(own.tolist(), new, strict=True):
+                sums[key] = sums[key] + row if key in sums else row
+        names = sorted(sums)
+        for i in range(0, len(names), 256):
+            some = names[i : i + 256]
+            key, part, values = slices(np.array(some), np.array([sums[x] for x in some]))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part.astype(np.int32)), lists(values)], ["k", "part", "sums"])
+
+    out = np.zeros((k, -(-(d + 2) // SLICE), SLICE))
+    for r in added_up(assigned.select(column, "cluster", "cost").mapInArrow(partial, "k long, part int, sums array<double>"), "k").toLocalIterator():
+        out[r["k"], r["part"]] = r["sums"]
+    out = out.reshape(k, -1)
+    return out[:, 2 : d + 2], out[:, 0].astype(np.int64), float(out[:, 1].sum())
 
 
 def refine(df: DataFrame, centroids: np.ndarray, column: str = "x", metric: str = "euclidean", projector: np.ndarray | None = None, epochs: int = 5, tolerance: float = 1e-4, seed: int = 0) -> Fit:
@@ -143,7 +187,7 @@ def reservoir_kmeans(df: DataFrame, k: int, pool: int, id_column: str, column: s
     if pool < k:
         raise ValueError("the pool has fewer rows than clusters")
     sample = weighted_sample(df, pool, id_column, weight, seed) if weight is not None else random_rows(df, pool, id_column, seed)
-    x = np.array([r[0] for r in sample.select(column).collect()], float)
+    x = np.array([r[0] for r in sample.select(column).collect() if r[0] is not None], float)
     r = orthonormal_projector(x.shape[1], proj_dim, seed) if proj_dim and 0 < proj_dim < x.shape[1] else None
     fit = lloyd(x if r is None else x @ r, k, metric, iterations, restarts, tolerance, seed)
     lifted = fit.centroids if r is None else fit.centroids @ r.T

@@ -28,7 +28,8 @@ def r4(x: str) -> str:
 
 
 def m(body: str) -> str:
-    return f"WITH {_MODEL} {body}"
+    """The model's tables, more of them if body begins with a comma, and the query."""
+    return f"WITH {_MODEL.rstrip()}{'' if body.startswith(',') else ' '}{body}"
 
 
 _SPLIT = "SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) <= ceil(count(*) OVER (PARTITION BY lang) * 5e-2) THEN 'val' ELSE 'train' END AS split FROM documents"
@@ -71,9 +72,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "prompt_extract": "SELECT conv_id, turn, trim(text, ' ') AS prompt FROM conversations WHERE trim(text, ' ') <> ''",
         "prompt_dedup": f"SELECT prompt, min(pos) AS pos FROM ({_PROMPTS}) GROUP BY prompt",
-        "prompt_batches": "SELECT CAST(doc_id // 16 AS BIGINT) AS batch, string_agg(lang, ',' ORDER BY doc_id) AS prompts FROM documents GROUP BY 1",
+        "prompt_batches": "SELECT CAST(doc_id // 16 AS BIGINT) AS batch, md5(string_agg(coalesce(text, ''), ',' ORDER BY doc_id)) AS prompts_md5, count(*) AS n FROM documents GROUP BY 1",
         "labelled_pairs": f"SELECT pos, prompt, trim(role, ' ') AS label FROM ({_PROMPTS}) WHERE prompt IS NOT NULL AND trim(role, ' ') <> ''",
-        "positional_select": "SELECT CAST(ord AS BIGINT) AS ord, doc_id AS pos, lang AS prompt FROM (VALUES (0, 7), (1, 3), (2, 3), (3, 11), (4, 0)) t(ord, place) JOIN documents ON doc_id = place",
+        "positional_select": "SELECT CAST(ord AS BIGINT) AS ord, doc_id AS pos, text AS prompt FROM (VALUES (0, 7), (1, 3), (2, 3), (3, 11), (4, 0)) t(ord, place) JOIN documents ON doc_id = place",
         "token_frequency": f"SELECT token, count(*) AS freq FROM ({_TOKEN_ROWS}) GROUP BY token",
         "inverse_freq_weights": f"SELECT token, freq, round((1.0 / (freq + 1)) / avg(1.0 / (freq + 1)) OVER (), 6) AS weight FROM (SELECT token, count(*) AS freq FROM ({_TOKEN_ROWS}) GROUP BY token)",
         "token_rows_with_labels": f"SELECT doc_id, pos, token, CAST(toxic AS BIGINT) AS label FROM ({_TOKEN_ROWS}) JOIN labels USING (doc_id)",
@@ -88,9 +89,26 @@ def oracle_sql() -> dict[str, str]:
         "stratified_split": _SPLIT,
         "split_counts": f"SELECT split, lang, count(*) AS n FROM ({_SPLIT}) GROUP BY split, lang",
         "train_rows_semi": f"SELECT vec_id AS row_id, CAST(label AS BIGINT) AS label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM ({_SPLIT}) WHERE split = 'train')",
-        "union_shards": "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')",
+        "union_shards": "SELECT doc_id, lang FROM documents",
         "shard_resume_todo": "SELECT DISTINCT CAST(0 AS BIGINT) AS layer, CAST(vec_id % 16 AS BIGINT) AS shard FROM embeddings WHERE vec_id % 16 >= 5",
         "random_window_order": "SELECT vec_id AS row_id, CAST(label AS BIGINT) AS label, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || CAST(vec_id AS VARCHAR)), vec_id) AS place FROM embeddings",
+        "prompt_files": "SELECT trim(text, ' ') AS prompt FROM benchmark WHERE trim(text, ' ') <> ''",
+        "labelled_files": "SELECT trim(text, ' ') AS prompt, trim(role, ' ') AS label FROM conversations WHERE trim(text, ' ') <> '' AND trim(role, ' ') <> ''",
+        "shard_round_trip": f"SELECT vec_id AS global_row, CAST(vec_id % 8 AS BIGINT) AS shard, {r4('embedding[1]::DOUBLE')} AS first FROM embeddings WHERE vec_id % 8 IN (1, 2, 5) AND label % 3 >= 1",
+        "row_slice": "SELECT vec_id AS row_id, CAST(label AS BIGINT) AS label FROM embeddings WHERE vec_id BETWEEN 30 AND 89",
+        "row_head": "SELECT vec_id AS row_id, CAST(label AS BIGINT) AS label FROM embeddings WHERE vec_id < 25",
+        # The vocabulary's first ten entries.
+        "token_names": "SELECT vec_id AS row_id, CAST(label AS BIGINT) AS token_id, ['!', chr(34), '#', '$', '%', '&', chr(39), '(', ')', '*'][label + 1] AS token FROM embeddings",
+        "weight_lookup": f"WITH t AS ({_TOKEN_ROWS}), f AS (SELECT token, (1.0::DOUBLE / (freq + 1)) / avg(1.0::DOUBLE / (freq + 1)) OVER () AS w FROM (SELECT token, count(*) AS freq FROM t GROUP BY token)) SELECT doc_id, round(sum(w), 4) AS weight FROM t JOIN f USING (token) GROUP BY doc_id",
+        "checkpoint_scores": m("SELECT DISTINCT row_id, round(logp, 3) AS log_prob FROM hard"),
+        "kmeans_refine": m(f""", c1 AS (SELECT k, d, avg(v) AS mu FROM x JOIN near USING (row_id) GROUP BY k, d),
+n1 AS (SELECT row_id, k FROM (SELECT row_id, k, sum((v - mu) * (v - mu)) AS d2 FROM x JOIN c1 USING (d) GROUP BY row_id, k) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY d2, k) = 1),
+c2 AS (SELECT n1.k, d, avg(v) AS mu FROM x JOIN n1 USING (row_id) GROUP BY n1.k, d)
+SELECT row_id, k AS cluster, {r4('d2')} AS cost FROM (SELECT row_id, k, sum((v - mu) * (v - mu)) AS d2 FROM x JOIN c2 USING (d) GROUP BY row_id, k) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY d2, k) = 1"""),
+        "mfa_rank_q_scores": m(f""", two AS (SELECT row_id, k, sum((v - mu) * (v - mu)) AS e2, sum(CASE d WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.25::DOUBLE ELSE 0 END * (v - mu)) AS v0, sum(CASE d WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN -0.25::DOUBLE ELSE 0 END * (v - mu)) AS v1, count(*) AS dim FROM x JOIN mus USING (d) GROUP BY row_id, k),
+own AS (SELECT *, (1.3125 * v0 - 0.125 * v1) / 1.70703125 AS z0, (1.3125 * v1 - 0.125 * v0) / 1.70703125 AS z1 FROM two),
+lik AS (SELECT *, -0.5 * (dim * ln(2 * pi()) + ln(1.70703125) + e2 - v0 * z0 - v1 * z1) - ln((SELECT count(*) FROM comp)) AS a FROM own)
+SELECT row_id, k, {r4('mx + ln(s)')} AS log_prob, {r4('z0')} AS z0, {r4('z1')} AS z1 FROM (SELECT *, sum(exp(a - mx)) OVER (PARTITION BY row_id) AS s FROM (SELECT *, max(a) OVER (PARTITION BY row_id) AS mx FROM lik)) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY a DESC, k) = 1"""),
         "row_norms": f"WITH x AS (SELECT vec_id AS row_id, embedding[1] AS f, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT row_id, {r4('sqrt(sum(v * v))')} AS norm, {r4('any_value(f)::DOUBLE / sqrt(sum(v * v))')} AS first FROM x GROUP BY row_id",
         "finite_rows": "SELECT vec_id AS row_id FROM embeddings WHERE len(list_filter(embedding, lambda v: NOT isfinite(v))) = 0",
         "pos_norms": f"WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v FROM embeddings), n AS (SELECT vec_id, label, sqrt(sum(v * v)) AS nm, bool_and(isfinite(v)) AS f FROM x GROUP BY vec_id, label) SELECT CAST(label AS BIGINT) AS pos, count(*) AS n, {r4('avg(nm)')} AS mean_norm, bool_and(f) AS finite FROM n GROUP BY label",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import all_finite, first_text, norm, normalised, shuffle_key, tokens
 from ..operators import analysis, corpus, extraction, kmeans, mixture, training
-from ..sources import prompts
+from ..sources import activations, folders, prompts
 
 WINDOW = 64
 
@@ -55,8 +55,8 @@ def prompt_dedup(spark, d):
 
 
 def prompt_batches(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("lang").alias("prompt"))
-    return prompts.batches(docs, 16).select("batch", F.array_join("prompts", ",").alias("prompts"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("prompt"))
+    return prompts.batches(docs, 16).select("batch", F.md5(F.array_join("prompts", ",")).alias("prompts_md5"), F.size("prompts").cast("long").alias("n"))
 
 
 def labelled_pairs(spark, d):
@@ -64,10 +64,24 @@ def labelled_pairs(spark, d):
 
 
 def positional_select(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("lang").alias("prompt"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("prompt"))
     return prompts.select_positions(docs, [7, 3, 3, 11, 0]).select("ord", "pos", "prompt")
 
 
+def prompt_files(spark, d):
+    """Benchmark items written as a jsonl file and read back as prompts."""
+    at = folders.scratch(spark, "prompts") + ".jsonl"
+    table(spark, d, "benchmark").select(F.to_json(F.struct("text")).alias("value")).coalesce(1).write.text(at)
+    return prompts.read_prompts(spark, at).select("prompt")
+
+
+def labelled_files(spark, d):
+    """Turns written as a csv file and read back as labelled prompts."""
+    at = folders.scratch(spark, "labelled") + ".csv"
+    table(spark, d, "conversations").select(F.col("text"), F.col("role").alias("label")).coalesce(1).write.option("escape", '"').csv(at, header=True)
+    return prompts.read_labelled(spark, at).select("prompt", "label")
+
+
 # Tokens and windows
 
 
@@ -93,8 +107,10 @@ def single_token_filter(spark, d):
 
 
 def token_freq_lookup(spark, d):
-    ids = extraction.token_ids(documents(spark, d), "doc_id")
-    return corpus.with_frequency(ids, corpus.token_frequency(ids)).groupBy("doc_id").agg(F.sum("freq").alias("total_freq"), F.max("freq").alias("top_freq"))
+    # Counted by document first, so that the join takes a row for each of a document's words, not for each place.
+    counted = extraction.token_ids(documents(spark, d), "doc_id").groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    frequency = counted.groupBy("token").agg(F.sum("n").alias("freq"))
+    return corpus.with_frequency(counted, frequency).groupBy("doc_id").agg(F.sum(F.col("freq") * F.col("n")).alias("total_freq"), F.max("freq").alias("top_freq"))
 
 
 def windows_build(spark, d):
@@ -140,16 +156,44 @@ def train_rows_semi(spark, d):
 
 
 def union_shards(spark, d):
-    docs = documents(spark, d).select("doc_id", "lang")
-    parts = [docs.filter(F.col("lang") == x) for x in ("en", "fr", "de", "es")]
+    docs = documents(spark, d).select("doc_id", "lang").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    parts = [docs.filter(F.col("shard") == i).drop("shard") for i in range(4)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def shard_resume_todo(spark, d):
-    from ..sources.activations import todo
-
     planned = rows(spark, d).select(F.lit(0).alias("layer"), (F.col("row_id") % 16).cast("int").alias("shard")).distinct()
-    return todo(planned, planned.filter("shard < 5")).select(F.col("layer").cast("long").alias("layer"), F.col("shard").cast("long").alias("shard"))
+    return activations.todo(planned, planned.filter("shard < 5")).select(F.col("layer").cast("long").alias("layer"), F.col("shard").cast("long").alias("shard"))
+
+
+def shard_round_trip(spark, d):
+    """Vectors written as shards, and read back without each row's first position."""
+    at = folders.scratch(spark, "shards")
+    one = rows(spark, d).select(F.lit(0).alias("layer"), (F.col("row_id") % 8).cast("int").alias("shard"), F.lit(0).alias("row_in_shard"), F.col("row_id").alias("global_row"), (F.col("label") % 3).cast("int").alias("pos"), F.col("label").cast("string").alias("subset"), F.col("label").cast("int").alias("token_id"), "x")
+    activations.write_shards(one, at)
+    return activations.read_shards(spark, at, 0, [1, 2, 5], drop_prefix=1).select("global_row", F.col("shard").cast("long").alias("shard"), r4(F.col("x")[0].cast("double")).alias("first"))
+
+
+def row_slice(spark, d):
+    return corpus.row_range(rows(spark, d), 30, 90, "row_id").select("row_id", "label")
+
+
+def row_head(spark, d):
+    return corpus.head(rows(spark, d), 25, "row_id").select("row_id", "label")
+
+
+def token_names(spark, d):
+    import public_tokenizers
+
+    vocabulary = activations.read_vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    named = corpus.with_names(rows(spark, d).select("row_id", F.col("label").cast("int").alias("token_id")), vocabulary)
+    return named.select("row_id", F.col("token_id").cast("long").alias("token_id"), "token")
+
+
+def weight_lookup(spark, d):
+    ids = extraction.token_ids(documents(spark, d), "doc_id").groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    weights = corpus.inverse_frequency_weights(token_frequency(spark, d))
+    return corpus.weighted_rows(ids, weights).groupBy("doc_id").agg(F.round(F.sum(F.col("weight") * F.col("n")), 4).alias("weight"))
 
 
 def random_window_order(spark, d):
@@ -173,11 +217,9 @@ def pos_norms(spark, d):
 
 
 def layer_concat(spark, d):
-    from ..sources.activations import concat_layers
-
     one = rows(spark, d).select(F.col("row_id").alias("global_row"), F.lit(0).alias("pos"), F.col("label").alias("token_id"), "x")
     both = one.withColumn("layer", F.lit(0)).unionByName(one.withColumn("layer", F.lit(1)).withColumn("x", F.reverse("x")))
-    return concat_layers(both, [0, 1]).select(F.col("global_row").alias("row_id"), F.size("x").cast("long").alias("n"), r4(F.col("x")[64].cast("double")).alias("first_of_second"))
+    return activations.concat_layers(both, [0, 1]).select(F.col("global_row").alias("row_id"), F.size("x").cast("long").alias("n"), r4(F.col("x")[64].cast("double")).alias("first_of_second"))
 
 
 def weighted_sample(spark, d):
@@ -286,12 +328,32 @@ def cluster_size_summary(spark, d):
 
 
 def mfa_blocks(spark, d):
-    return mixture.score_in_blocks(rows(spark, d), model(spark, d), "row_id", block=3).select("row_id", r4("log_density").alias("log_prob"), F.col("best").alias("k"))
+    return mixture.score_in_blocks(rows(spark, d), model(spark, d), "row_id").select("row_id", r4("log_density").alias("log_prob"), F.col("best").alias("k"))
+
+
+def _rank_two(spark, d) -> mixture.Mixture:
+    """Class means, unit noise, two loadings along the first axes of the space."""
+    mu = centroids(spark, d)
+    w = np.zeros((*mu.shape, 2))
+    w[:, 0, 0], w[:, 1, 0], w[:, 1, 1], w[:, 2, 1] = 0.5, 0.25, 0.5, -0.25
+    return mixture.Mixture(mu, w, np.ones((1, mu.shape[1])), np.full(len(mu), -np.log(len(mu))))
 
 
 def mfa_rank_q_scores(spark, d):
-    m = mixture.Mixture.init(centroids(spark, d), 3)
-    return mixture.score(rows(spark, d), m).select("row_id", "best", "log_density")
+    return mixture.score(rows(spark, d), _rank_two(spark, d)).select("row_id", F.col("best").alias("k"), r4("log_density").alias("log_prob"), r4(F.get("ez", F.col("best").cast("int"))[0]).alias("z0"), r4(F.get("ez", F.col("best").cast("int"))[1]).alias("z1"))
+
+
+def checkpoint_scores(spark, d):
+    """The model saved and loaded again."""
+    at, m = folders.scratch(spark, "model"), model(spark, d)
+    activations.save_mixture(spark, m, at)
+    return mixture.density(rows(spark, d), activations.load_mixture(spark, at)).select("row_id", F.round("log_density", 3).alias("log_prob"))
+
+
+def kmeans_refine(spark, d):
+    """Two epochs over all rows from the class means."""
+    fit = kmeans.refine(rows(spark, d), centroids(spark, d), epochs=2, tolerance=0.0)
+    return kmeans.assign(rows(spark, d), fit.centroids).select("row_id", "cluster", r4("cost").alias("cost"))
 
 
 def mfa_train(spark, d):
@@ -299,6 +361,16 @@ def mfa_train(spark, d):
     return spark.createDataFrame(list(enumerate(map(float, info["history"]), 1)), "epoch int, nll double")
 
 
+def mfa_train_k500(spark, d):
+    """A wide model: k-means with as many clusters as a quarter of the rows (500 at most), then an epoch of mini-batches at rank 10."""
+    data = rows(spark, d)
+    k = min(500, data.count() // 4)
+    fit = kmeans.reservoir_kmeans(data, k, 5 * k, "row_id", proj_dim=32, iterations=5, restarts=1, refine_epochs=1)
+    start = mixture.Mixture.init(fit.centroids, 10, psi_init=0.05, scale_init=0.05)
+    _, info = training.train(data, start, epochs=1, id_column="row_id", batches=4, scratch=folders.scratch(spark, "dealt"))
+    return spark.createDataFrame([(1, float(info["history"][0]))], "epoch int, nll double")
+
+
 # Reading the mixture
 
 
@@ -372,6 +444,7 @@ def queries() -> dict:
         token_freq_lookup, windows_build, windows_quota, subset_counts, first_per_subset, window_length_check, special_filter, stratified_split, split_counts, train_rows_semi,
         union_shards, shard_resume_todo, random_window_order, row_norms, finite_rows, pos_norms, layer_concat, weighted_sample, random_points, kmeans_assign, kmeans_assign_cosine,
         kmeans_step, kmeans_inertia, kmeans_fit, projected_refine, mfa_log_likelihood, mfa_responsibilities, mfa_responsibilities_tau, mfa_log_prob, mfa_nll, mfa_posterior,
+        prompt_files, labelled_files, shard_round_trip, row_slice, row_head, token_names, weight_lookup, checkpoint_scores, kmeans_refine, mfa_train_k500,
         mfa_reconstruct, mfa_encode, mfa_decode, mfa_dictionary, mfa_hard_assign, mfa_cluster_sizes, cluster_size_summary, mfa_blocks, mfa_rank_q_scores, mfa_train,
         top_rows_per_component, top_tokens_max, top_tokens_sum, subspace_project_hard, subspace_project_threshold, subspace_project_centered, component_pairs_kl,
         component_pairs_bhattacharyya, intrinsic_dim, steer_mean, steer_mixture, steer_latent, steer_latent_mixture,

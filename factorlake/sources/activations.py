@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import json
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +48,9 @@ def concat_layers(df: DataFrame, layers: list[int]) -> DataFrame:
 
 
 def shuffled(df: DataFrame, seed: int, epoch: int, id_column: str = "global_row") -> DataFrame:
-    """Another order for each epoch, the same for the same seed and epoch."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), *(c for c in (id_column, "pos") if c in df.columns)))
+    """Another order for each epoch, the same for the same seed and epoch: rows are dealt by a hash and sorted by it where they arrive, so no ranges are sampled first."""
+    key = F.xxhash64(F.lit(seed), F.lit(epoch), *(c for c in (id_column, "pos") if c in df.columns))
+    return df.withColumn("_key", key).repartition("_key").sortWithinPartitions("_key").drop("_key")
 
 
 def read_shard_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -64,11 +67,31 @@ def write_record(spark: SparkSession, path: str, record: dict) -> None:
 
 
 def read_record(spark: SparkSession, path: str) -> dict | None:
-    """None if it is not there or can't be parsed."""
+    """None if it is not there. One that is there but can't be read is an error."""
     try:
-        return json.loads(spark.read.text(path, wholetext=True).first()[0])
-    except Exception:  # noqa: BLE001  whatever keeps it from being read
+        raw = spark.read.text(path, wholetext=True).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
+    return None if raw is None else json.loads(raw[0])
+
+
+def append_progress(spark: SparkSession, path: str, entry: dict) -> None:
+    """A line more in a progress log."""
+    spark.createDataFrame([(json.dumps(entry, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def eta(done: int, total: int, seconds: float) -> dict:
+    """Rate and remaining time from what is done so far."""
+    rate = done / seconds if seconds > 0 else 0.0
+    return {"done": done, "total": total, "per_second": rate, "seconds_left": (total - done) / rate if rate else None}
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(token_id, token) of a tokenizer's json file (model.vocab)."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "model struct<vocab: map<string, int>>").alias("j"))
+    return whole.select(F.explode("j.model.vocab").alias("token", "token_id")).select("token_id", "token")
 
 
 def save_mixture(spark: SparkSession, model, path: str, extra: dict | None = None) -> None:
@@ -80,12 +103,41 @@ def save_mixture(spark: SparkSession, model, path: str, extra: dict | None = Non
     write_record(spark, f"{path}/meta", meta | {"extra": extra or {}})
 
 
-def load_mixture(spark: SparkSession, path: str):
+def load_mixture(spark: SparkSession, path: str, strict: bool = True):
+    """strict: a checkpoint without its meta row is an error, as a rotation and the noise's kind stand there; else both are taken from the shapes, without a rotation."""
     from ..operators.mixture import Mixture
 
     rows = sorted(spark.read.parquet(f"{path}/components").collect(), key=lambda r: r["k"])
-    meta = read_record(spark, f"{path}/meta") or {}
+    meta = read_record(spark, f"{path}/meta")
+    if meta is None:
+        if strict:
+            raise ValueError(f"{path}/meta is missing")
+        meta = {"psi_per_component": len({tuple(r["psi_rho"]) for r in rows}) > 1}
     stack = lambda name: np.array([r[name] for r in rows], float)
     psi = stack("psi_rho")
     rotation = meta.get("rotation")
     return Mixture.from_raw(stack("mu"), stack("dir_raw"), stack("scale_rho"), psi if meta.get("psi_per_component") else psi[:1], stack("pi_logit"), eps_floor=meta.get("eps_floor", 1e-8), rotation=None if rotation is None else np.array(rotation))
+
+
+def mixture_from_state(state: dict, strict: bool = True):
+    """A mixture from named arrays, bare or wrapped in ``state_dict``, as other programs keep them. Shapes give K, D and q. Without ``strict`` what is missing has a default: unit scales and noise, equal weights, no rotation."""
+    from ..operators.mixture import Mixture, softplus_inverse
+
+    state = state.get("state_dict", state)
+    missing = [n for n in ("mu", "dir_raw", "scale_rho", "psi_rho", "pi_logit") if n not in state]
+    if missing and (strict or {"mu", "dir_raw"} & set(missing)):
+        raise ValueError(f"the state lacks {', '.join(missing)}")
+    mu, raw = np.asarray(state["mu"], float), np.asarray(state["dir_raw"], float)
+    if mu.ndim != 2 or raw.ndim != 3 or raw.shape[:2] != mu.shape:
+        raise ValueError(f"shapes {mu.shape} and {raw.shape} of mu and dir_raw don't fit")
+    unit = softplus_inverse(np.array(1.0))
+    psi = np.asarray(state.get("psi_rho", np.full(mu.shape[1], unit)), float)
+    rotation = state.get("rotation")
+    return Mixture.from_raw(mu, raw, np.asarray(state.get("scale_rho", np.full((len(mu), raw.shape[2]), unit)), float), psi.reshape(-1, mu.shape[1]), np.asarray(state.get("pi_logit", np.zeros(len(mu))), float), float(state.get("eps_floor", 1e-8)), None if rotation is None else np.asarray(rotation, float))
+
+
+def read_state(spark: SparkSession, path: str, strict: bool = True):
+    """A mixture from an ``npz`` file of named arrays."""
+    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    with np.load(io.BytesIO(bytes(raw)), allow_pickle=False) as held:
+        return mixture_from_state({name: held[name] for name in held.files}, strict)

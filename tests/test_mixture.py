@@ -91,7 +91,7 @@ def test_partitioning_does_not_matter(spark):
     m = random_model()
     got = [by_row(mixture.score(df.repartition(n), m), "log_density") for n in (1, 7)]
     assert np.array_equal(*got) and np.allclose(got[0], m.log_density(dense(m, x)))
-    blocks = mixture.score_in_blocks(df, m, "row_id", block=3)
+    blocks = mixture.score_in_blocks(df, m, "row_id")
     assert np.allclose(by_row(blocks, "log_density"), got[0])
     assert mixture.score(df.limit(0), m).count() == 0
 
@@ -132,7 +132,7 @@ def test_training_improves_and_checkpoints(spark, tmp_path):
     x = np.concatenate([rng.normal(size=(150, 4)) + 3, rng.normal(size=(150, 4)) - 3])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, x array<double>")
     start = mixture.Mixture.init(x[[0, 200]], 1)
-    best, info = training.train(df, start, epochs=6, rate=0.05, batches=2, id_column="row_id", clip=5.0, validation=df)
+    best, info = training.train(df, start, epochs=6, rate=0.05, batches=2, id_column="row_id", clip=5.0, validation=df, scratch=f"{tmp_path}/dealt")
     assert info["best_metric"] < mixture.mean_nll(df, start) and len(info["history"]) == 6
     activations.save_mixture(spark, best, f"{tmp_path}/m", {"a": 1})
     again = activations.load_mixture(spark, f"{tmp_path}/m")
@@ -192,7 +192,7 @@ def test_sampling_and_splits(spark):
     docs = spark.range(100).select(F.col("id").alias("doc_id"), (F.col("id") % 1).alias("s"))
     split = corpus.stratified_split(docs, "s", "doc_id", 0.07)
     assert split.filter("split = 'val'").count() == 8  # in double arithmetic
-    assert corpus.split_record(split, "s", "doc_id", 0.07, 42, 224)["val_rows"] == 8
+    assert corpus.split_record(split, "s", 0.07, 42, 224)["val_rows"] == 8
     assert corpus.pool_size(1000, 400, 600) == 600 and corpus.pool_size(100, 10, 600, 50) == 50
     keyed = spark.createDataFrame([(i,) for i in range(5)], "id long")
     assert corpus.weighted_sample(keyed, 9, "id", F.lit(1.0)).count() == 5
@@ -203,3 +203,71 @@ def test_islands(spark, tmp_path):
     grid = ["11000", "11000", "00100", "00011"]
     cells = spark.createDataFrame([(y, x) for y, row in enumerate(grid) for x, c in enumerate(row) if c == "1"], "y long, x long")
     assert corpus.islands(cells, str(tmp_path)) == 3
+
+
+def test_blocks_of_components_give_the_same(spark, monkeypatch):
+    """Every operator with parameters past one broadcast against itself with one."""
+    m = random_model(k=7)
+    turned = mixture.Mixture(m.mu, m.W, np.random.default_rng(8).uniform(0.5, 2, (7, 6)), m.log_pi, rotation=np.linalg.qr(np.random.default_rng(3).normal(size=(7, 2, 2)))[0])
+    x = np.random.default_rng(5).normal(size=(200, 6)) * 2
+    df = spark.createDataFrame([(i, i % 5, v.tolist(), [float(i % 3), 0.5]) for i, v in enumerate(x)], "row_id long, token long, x array<double>, z array<double>")
+    code = mixture.encode(df, turned)
+    by_component = np.arange(14).reshape(7, 2) / 10
+
+    def all_of(ids):
+        own = {"id_column": "row_id"} if ids else {}
+        wide = {
+            "score": mixture.score(df, turned, tau=1.5, **own), "density": mixture.density(df, turned, component=4, **own), "mixed": mixture.reconstruct(df, turned, **own),
+            "each": mixture.reconstruct(df, turned, mixture_mean=False, **own), "encode": mixture.encode(df, turned, tau=2.0, **own), "decode": mixture.decode(code, turned),
+            "assign": kmeans.assign(df, turned.mu), "cosine": kmeans.assign(df, turned.mu, metric="cosine"), "mean": analysis.steer_mean(df, turned, 0.3, **own),
+            "latent": analysis.steer_latent(df, turned, 0.3, [1.0, -1.0], **own), "component": analysis.steer_latent(df, turned, 0.3, by_component, per="component", **own), "row": analysis.steer_latent(df, turned, 0.3, "z", per="row", **own),
+            "project": analysis.project(df, turned, 2, how="threshold", least=0.01, **own),
+        }
+        out = {}
+        for name, found in wide.items():
+            for c in sorted(set(found.columns) - set(df.columns) - {"coefficients"} | ({"coefficients"} if name == "encode" else set())):
+                out[name, c] = by_row(found, c)
+        for name, found in {
+            "top": analysis.top_rows(df, turned, "row_id", 9), "likely": analysis.top_rows(df, turned, "row_id", 9, kind="likelihood"), "tokens": analysis.top_tokens(df, turned, "row_id", "token", 3, aggregate="sum"),
+            "pairs": analysis.overlap(spark, turned), "dims": analysis.intrinsic_dims(df, turned, "row_id", least=2, rows_each=20),
+        }.items():
+            rows_ = sorted(tuple(r) for r in found.collect())
+            out[name] = np.array(rows_, float)
+        s = training.gather(df, turned, id_column="row_id" if ids else None)
+        out |= {("gather", n): v for n, v in s.items()}
+        sums, n, inertia = kmeans.means(df, turned.mu)
+        return out | {"sums": sums, "n": n, "inertia": np.array(inertia), "nll": np.array(mixture.mean_nll(df, turned, id_column="row_id" if ids else None))}
+
+    want = all_of(False)
+    monkeypatch.setattr(mixture, "BROADCAST_BYTES", 900)
+    assert len(turned.ranges()) > 2 and len(kmeans._blocks(np.zeros((30, 6)))) > 1
+    got = all_of(True)
+    assert set(got) == set(want)
+    for name, value in want.items():
+        assert np.allclose(got[name], value, atol=1e-9), name
+    assert np.allclose(by_row(mixture.density(df, turned), "log_density"), want["density", "log_density"])
+
+
+def test_null_and_ragged_vectors(spark):
+    df = spark.createDataFrame([(0, None), (1, [2.0, 1.0, 0.0]), (2, [None, 0.5, 0.0]), (3, None)], "row_id long, x array<double>")
+    s = mixture.score(df, GOLDEN)
+    assert by_row(s, "best").tolist() == [-1, 1, -1, -1] and np.isnan(by_row(s, "log_density")).tolist() == [True, False, True, True]
+    assert by_row(kmeans.assign(df, GOLDEN.mu), "cluster").tolist() == [-1, 1, -1, -1]
+    assert kmeans.means(df, GOLDEN.mu)[1].tolist() == [0, 1]
+    assert {r["row_id"] for r in analysis.top_rows(df, GOLDEN, "row_id", 4).collect()} == {1}
+    assert mixture.score(df.filter("x is null"), GOLDEN).filter("best = -1").count() == 2
+    with pytest.raises(Exception, match="vectors of 2 and of 3"):
+        mixture.score(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0, 3.0])], "row_id long, x array<double>").coalesce(1), GOLDEN).collect()
+
+
+def test_training_finds_a_planted_mixture(spark, tmp_path):
+    """Mini-batches; the likelihood comes within 1 percent of the planted model's."""
+    rng = np.random.default_rng(2)
+    true = mixture.Mixture(rng.normal(size=(3, 6)) * 4, rng.normal(size=(3, 6, 1)), np.full((1, 6), 0.4), np.log([0.2, 0.3, 0.5]))
+    k = rng.choice(3, 3000, p=[0.2, 0.3, 0.5])
+    x = true.mu[k] + (true.W[k] @ rng.normal(size=(3000, 1, 1)))[:, :, 0] + rng.normal(size=(3000, 6)) * 0.4**0.5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, x array<double>")
+    fit = kmeans.reservoir_kmeans(df, 3, 600, "row_id", iterations=20, restarts=4, refine_epochs=3)
+    best, info = training.train(df, mixture.Mixture.init(fit.centroids, 1), epochs=9, rate=0.2, batches=5, id_column="row_id", scratch=f"{tmp_path}/b")
+    want = -true.log_density(true.log_likelihood(x)).mean()
+    assert abs(mixture.mean_nll(df, best) - want) < 0.01 * abs(want), (info, want)
