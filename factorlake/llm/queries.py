@@ -181,5 +181,33 @@ FROM split LEFT JOIN base USING (r) LEFT JOIN best USING (r)
 """
 
 
+_OP9 = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS x FROM documents
+), tokens AS (
+  SELECT doc_id, unnest(regexp_extract_all(x, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*')) AS token, generate_subscripts(regexp_extract_all(x, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*'), 1) AS i FROM texts
+), words AS (
+  SELECT *, regexp_extract(token, '^[^\x20\x09-\x0D]+') AS word, regexp_matches(regexp_extract(token, '^[^\x20\x09-\x0D]+'), '([.!?]["'')\]}}]?|。)$') OR contains(token, chr(10)) AS ends FROM tokens
+), placed AS (
+  SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM words
+), sentences AS (
+  SELECT doc_id, s, count(*) AS n, string_agg(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' ORDER BY i) AS said, string_agg(token, '' ORDER BY i) AS body FROM placed GROUP BY doc_id, s
+), running AS (
+  SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY s) AS until FROM sentences
+), runs AS (
+  SELECT a.doc_id, a.s AS a, min(b.s) AS b FROM running a JOIN running b ON a.doc_id = b.doc_id AND b.s BETWEEN a.s + {sentence_spans.SENTENCES - 1} AND a.s + {sentence_spans.LEAST_WORDS} AND b.until - a.until + a.n >= {sentence_spans.LEAST_WORDS} GROUP BY a.doc_id, a.s
+  UNION ALL SELECT doc_id, s, s FROM sentences WHERE n >= {sentence_spans.ALONE}
+), keys AS (
+  SELECT r.doc_id, a, b, md5(string_agg(said, ' ' ORDER BY s)) AS k FROM runs r JOIN sentences t ON r.doc_id = t.doc_id AND t.s BETWEEN a AND b GROUP BY r.doc_id, a, b
+), repeats AS (
+  SELECT * FROM keys QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, a) > 1
+), gone AS (
+  SELECT DISTINCT t.doc_id, t.s FROM repeats r JOIN sentences t ON r.doc_id = t.doc_id AND t.s BETWEEN a AND b
+)
+SELECT t.doc_id, count(*) AS n_sentences, count(g.s) AS n_removed, any_value(regexp_extract(x, '^[\x20\x09-\x0D]*')) || coalesce(string_agg(body, '' ORDER BY t.s) FILTER (g.s IS NULL), '') AS text
+FROM sentences t JOIN texts USING (doc_id) LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.s = t.s GROUP BY t.doc_id HAVING count(g.s) > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_snapshots": _OP1, "op2_url_cascade": _OP2, "op5_license_scan": _op5(), "op7_circulant_minhash": _OP7}
+    return {"op1_chat_snapshots": _OP1, "op2_url_cascade": _OP2, "op5_license_scan": _op5(), "op7_circulant_minhash": _OP7, "op9_sentence_spans": _OP9}

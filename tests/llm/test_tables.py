@@ -3,6 +3,7 @@
 import re
 from hashlib import md5
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -176,3 +177,15 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
     for name, apply in p.STAGES[:-1]:
         assert apply(spark, clashing, SF).columns == clashing.columns, name
         assert apply(spark, clashing.limit(0), SF).count() == 0, name
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got = queries.queries()[name](spark, SF)
+    want = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(str(tuple(r)) for r in got.select(*names).collect()) == sorted(map(str, want.fetchall()))

@@ -210,7 +210,9 @@ def brute_components(rows, width, percent=80):
     return sorted((str(i), len(sets[k]), str(lowest.get(root[k]) if sets[k] else i)) for k, (i, _) in enumerate(rows))
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("filter_bits", [near_duplicates.FILTER_BITS, 0])
+def test_near_duplicates(spark, monkeypatch, filter_bits):
+    monkeypatch.setattr(near_duplicates, "FILTER_BITS", filter_bits)
     rng = np.random.default_rng(3)
     base = [f"w{x}" for x in rng.integers(0, 500, 60)]
     rows = list(ODD)
