@@ -36,6 +36,12 @@ def quota(df: DataFrame, subset: str, target: int, order: str, fits: Column | No
     return kept.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= target).drop("rank")
 
 
+def first_of_subset(df: DataFrame, subset: str, value, target: int, fits: Column | None = None) -> DataFrame:
+    """Of one subset, up to target rows that fit among the first int(1.3 target) that the scan meets. The limits stop the scan early; which rows come first is the scan's own order."""
+    seen = df.filter(F.col(subset) == value).limit(scan_budget(target))
+    return (seen.filter(fits) if fits is not None else seen).limit(target)
+
+
 def subset_counts(df: DataFrame, subset: str, window: int | None = None) -> DataFrame:
     out = df.groupBy(subset).agg(F.count("*").alias("n"))
     return (out.withColumn("n_tokens", F.col("n") * window) if window else out).orderBy(subset)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analysis, corpus, kmeans, mixture, training
-from ..sources import activations
+from ..sources import activations, folders
 from . import extract
 
 
@@ -59,7 +59,8 @@ def train(spark: SparkSession, data: DataFrame, out: str, k: int, rank: int, id_
     """Split -> centroids -> mixture -> checkpoint and records. batch: rows of a step (0: all); save_epochs keeps each epoch's model."""
     if subset:
         ids = split(spark, data, out, subset, id_column, val_fraction, seed).select(id_column, "split")
-        part, val = (data.join(ids.filter(F.col("split") == s), id_column, "left_semi") for s in ("train", "val"))
+        # Written once, as every epoch reads both.
+        part, val = (folders.kept(data.join(ids.filter(F.col("split") == s), id_column, "left_semi"), s) for s in ("train", "val"))
     else:
         part, val = data, None
     start = mixture.Mixture.init(centroids(spark, part, out, k, id_column, proj_dim, max_pool, refine_epochs, seed), rank, seed=seed)

@@ -93,6 +93,8 @@ def oracle_sql() -> dict[str, str]:
         "shard_resume_todo": "SELECT DISTINCT CAST(0 AS BIGINT) AS layer, CAST(vec_id % 16 AS BIGINT) AS shard FROM embeddings WHERE vec_id % 16 >= 5",
         "random_window_order": "SELECT vec_id AS row_id, CAST(label AS BIGINT) AS label, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || CAST(vec_id AS VARCHAR)), vec_id) AS place FROM embeddings",
         "prompt_files": "SELECT trim(text, ' ') AS prompt FROM benchmark WHERE trim(text, ' ') <> ''",
+        "prompt_csv": "SELECT DISTINCT trim(text, ' ') AS prompt FROM benchmark WHERE trim(text, ' ') <> ''",
+        "subset_head": "SELECT least(count(*), 20) AS n, true AS all_de FROM documents WHERE lang = 'de'",
         "labelled_files": "SELECT trim(text, ' ') AS prompt, trim(role, ' ') AS label FROM conversations WHERE trim(text, ' ') <> '' AND trim(role, ' ') <> ''",
         "shard_round_trip": f"SELECT vec_id AS global_row, CAST(vec_id % 8 AS BIGINT) AS shard, {r4('embedding[1]::DOUBLE')} AS first FROM embeddings WHERE vec_id % 8 IN (1, 2, 5) AND label % 3 >= 1",
         "row_slice": "SELECT vec_id AS row_id, CAST(label AS BIGINT) AS label FROM embeddings WHERE vec_id BETWEEN 30 AND 89",

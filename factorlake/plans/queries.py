@@ -75,6 +75,18 @@ def prompt_files(spark, d):
     return prompts.read_prompts(spark, at).select("prompt")
 
 
+def prompt_csv(spark, d):
+    """Benchmark items written as a csv file and read back as prompts, the first of each."""
+    at = folders.scratch(spark, "prompts") + ".csv"
+    table(spark, d, "benchmark").select(F.col("text").alias("prompt"), "item_id").coalesce(1).write.option("escape", '"').csv(at, header=True)
+    return prompts.read_prompts(spark, at, dedup=True).select("prompt")
+
+
+def subset_head(spark, d):
+    """How many rows an early-stopping read of one language gives."""
+    return corpus.first_of_subset(documents(spark, d), "lang", "de", 20).agg(F.count("*").alias("n"), F.bool_and(F.col("lang") == "de").alias("all_de"))
+
+
 def labelled_files(spark, d):
     """Turns written as a csv file and read back as labelled prompts."""
     at = folders.scratch(spark, "labelled") + ".csv"
@@ -444,7 +456,7 @@ def queries() -> dict:
         token_freq_lookup, windows_build, windows_quota, subset_counts, first_per_subset, window_length_check, special_filter, stratified_split, split_counts, train_rows_semi,
         union_shards, shard_resume_todo, random_window_order, row_norms, finite_rows, pos_norms, layer_concat, weighted_sample, random_points, kmeans_assign, kmeans_assign_cosine,
         kmeans_step, kmeans_inertia, kmeans_fit, projected_refine, mfa_log_likelihood, mfa_responsibilities, mfa_responsibilities_tau, mfa_log_prob, mfa_nll, mfa_posterior,
-        prompt_files, labelled_files, shard_round_trip, row_slice, row_head, token_names, weight_lookup, checkpoint_scores, kmeans_refine, mfa_train_k500,
+        prompt_files, prompt_csv, subset_head, labelled_files, shard_round_trip, row_slice, row_head, token_names, weight_lookup, checkpoint_scores, kmeans_refine, mfa_train_k500,
         mfa_reconstruct, mfa_encode, mfa_decode, mfa_dictionary, mfa_hard_assign, mfa_cluster_sizes, cluster_size_summary, mfa_blocks, mfa_rank_q_scores, mfa_train,
         top_rows_per_component, top_tokens_max, top_tokens_sum, subspace_project_hard, subspace_project_threshold, subspace_project_centered, component_pairs_kl,
         component_pairs_bhattacharyya, intrinsic_dim, steer_mean, steer_mixture, steer_latent, steer_latent_mixture,
