@@ -51,7 +51,9 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+    """Edits as a string: section:paragraph:gone:added of each place."""
+    edit = F.transform("edits", lambda e: F.concat_ws(":", e["section"], e["paragraph"], e["gone"], e["added"]))
+    return fingerprints.with_edits(table(spark, sf_dir, "documents")).withColumn("edits", F.array_join(edit, " "))
 
 
 def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,5 +211,57 @@ FROM sentences t JOIN texts USING (doc_id) LEFT JOIN gone g ON g.doc_id = t.doc_
 """
 
 
+def _op6() -> str:
+    def cut(text: str, pattern: str) -> str:
+        return f"string_split(regexp_replace({text}, '{pattern}', '\\1' || chr(57344) || '\\2', 'g'), chr(57344))"
+
+    def start(x: str, y: str) -> str:
+        """How many entries at the beginning are equal."""
+        return f"coalesce(nullif(list_position(list_transform(range(1, greatest(len({x}), len({y})) + 1), lambda i: ({x})[i] IS NOT DISTINCT FROM ({y})[i]), false), 0) - 1, len({x}))"
+
+    short = f"[1:{fingerprints.DIGITS}]"
+    return f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS x FROM documents
+), followed AS (
+  SELECT doc_id, x, coalesce(lead(x) OVER w, first_value(x) OVER w) AS y, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id FROM texts WINDOW w AS (ORDER BY doc_id NULLS FIRST)
+), edited AS (
+  SELECT *, substr(x, 1, length(x) - length(x) // 2) || substr(y, 1, length(x) // 2) AS z FROM followed
+), every AS (
+  SELECT doc_id, 'x' AS which, x AS s FROM edited UNION ALL SELECT doc_id, 'z', z FROM edited
+), leaves AS (
+  SELECT doc_id, which, list_transform({cut("s", "(\n\n)([^\n])")}, lambda s: list_transform({cut("s", "(\n)([^\n])")}, lambda p: list_transform({cut("p", "([.!?])([^.!?\n])")}, lambda q: sha256(q)))) AS tree FROM every
+), nodes AS (
+  SELECT *, list_transform(tree, lambda s: list_transform(s, lambda p: sha256(array_to_string(p, '')))) AS inside FROM leaves
+), heads AS (
+  SELECT *, list_transform(inside, lambda s: sha256(array_to_string(s, ''))) AS top FROM nodes
+), prints AS (
+  SELECT doc_id, which, sha256(array_to_string(top, '')) AS root, list_distinct(list_transform(flatten(flatten(tree)), lambda q: q{short})) AS own, list_transform(top, lambda h: h{short}) AS h,
+    list_transform(inside, lambda s: list_transform(s, lambda p: p{short})) AS ps,
+    sha256(array_to_string(top, '')) || '|' || array_to_string(list_transform(tree, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(list_transform(p, lambda q: q{short}), ',')), '/')), '|') || '#'
+      || array_to_string(list_transform(range(1, len(top) + 1), lambda i: top[i]{short} || '/' || array_to_string(list_transform(inside[i], lambda p: p{short}), '/')), '|') AS print
+  FROM heads
+), compared AS (
+  SELECT a.doc_id, a.h AS ha, b.h AS hb, a.ps AS pa, b.ps AS pb, {start("a.h", "b.h")} AS front FROM prints a JOIN prints b ON a.doc_id = b.doc_id AND a.which = 'x' AND b.which = 'z' AND a.root <> b.root
+), narrowed AS (
+  SELECT *, {start("list_reverse(ha[front + 1 :])", "list_reverse(hb[front + 1 :])")} AS back FROM compared
+), middle AS (
+  SELECT doc_id, front, ha[front + 1 : len(ha) - back] AS ha, hb[front + 1 : len(hb) - back] AS hb, pa[front + 1 : len(pa) - back] AS pa, pb[front + 1 : len(pb) - back] AS pb FROM narrowed
+), stretches AS (
+  SELECT doc_id, front + i - 1 AS section, pa[i] AS a, pb[i] AS b FROM (SELECT *, unnest(range(1, len(ha) + 1)) AS i FROM middle WHERE len(ha) = len(hb) AND len(ha) > 0) WHERE ha[i] <> hb[i]
+  UNION ALL SELECT doc_id, front, flatten(pa), flatten(pb) FROM middle WHERE len(ha) <> len(hb) OR len(ha) = 0
+), begun AS (
+  SELECT *, {start("a", "b")} AS p FROM stretches
+), ended AS (
+  SELECT *, {start("list_reverse(a[p + 1 :])", "list_reverse(b[p + 1 :])")} AS q FROM begun
+), edits AS (
+  SELECT doc_id, string_agg(section || ':' || p || ':' || (len(a) - p - q) || ':' || (len(b) - p - q), ' ' ORDER BY section) AS edits FROM ended GROUP BY doc_id
+)
+SELECT e.doc_id, CAST(length(x) AS BIGINT) AS n_chars, sha256(z) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint,
+  len(list_intersect(a.own, b.own)) / greatest(len(a.own), len(b.own)) AS near_edited, len(list_intersect(a.own, c.own)) / greatest(len(a.own), len(c.own)) AS near_next, coalesce(edits, '') AS edits
+FROM edited e JOIN prints a ON a.doc_id = e.doc_id AND a.which = 'x' JOIN prints b ON b.doc_id = e.doc_id AND b.which = 'z' JOIN prints c ON c.doc_id = e.next_id AND c.which = 'x' LEFT JOIN edits d ON d.doc_id = e.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_snapshots": _OP1, "op2_url_cascade": _OP2, "op5_license_scan": _op5(), "op7_circulant_minhash": _OP7, "op9_sentence_spans": _OP9}
+    return {"op1_chat_snapshots": _OP1, "op2_url_cascade": _OP2, "op5_license_scan": _op5(), "op6_merkle_fingerprints": _op6(), "op7_circulant_minhash": _OP7, "op9_sentence_spans": _OP9}
