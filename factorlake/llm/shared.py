@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,17 +10,7 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset, as in tests in one process, a folder of this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
+from ..sources.folders import remove, shared_folder
 
 #: Bytes of a batch that goes to a Python worker. A text longer than that makes a batch of its own.
 BATCH_BYTES = 4 << 20
@@ -64,11 +53,6 @@ class Scratch:
         self.kept = [(df, at) for df, at in self.kept if any(df is w for w in wanted)]
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 @contextmanager
 def swept(spark: SparkSession) -> Iterator[None]:
     """Tables that operators keep within are removed at the end: what comes from them must be written by then."""
