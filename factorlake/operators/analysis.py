@@ -202,6 +202,41 @@ def _joined(one: Mixture, other: Mixture) -> Mixture:
     return Mixture(np.concatenate([one.mu, other.mu]), np.concatenate([one.W, other.W]), psi, np.concatenate([one.log_pi, other.log_pi]), one.eps_floor)
 
 
+def linkage_order(distance: np.ndarray) -> list[int]:
+    """Leaves in the order of an average-linkage tree over a symmetric matrix of distances, built by chains of nearest neighbours."""
+    d, n = np.array(distance, float), len(distance)
+    np.fill_diagonal(d, np.inf)
+    size, members, chain, left = np.ones(n), [[i] for i in range(n)], [], set(range(n))
+    while len(left) > 1:
+        if not chain:
+            chain.append(min(left))
+        a = chain[-1]
+        b = int(np.argmin(d[a]))
+        if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
+            b = chain[-2]
+            del chain[-2:]
+            a, b = min(a, b), max(a, b)
+            joint = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+            d[a] = d[:, a] = joint
+            d[b] = d[:, b] = d[a, a] = np.inf
+            size[a] += size[b]
+            members[a] += members[b]
+            left.remove(b)
+        else:
+            chain.append(b)
+    return members[min(left)] if n else []
+
+
+def heatmap(pairs: DataFrame, n: int, column: str = "bc", most: int = 4000) -> tuple[np.ndarray, list[int]]:
+    """The (n, n) matrix of overlaps for a plotting library to draw, and the order that puts similar components beside each other. Its n * n numbers are the driver's, so n is bounded."""
+    if n > most:
+        raise ValueError(f"{n} components are too many to draw")
+    out = np.eye(n)
+    for r in pairs.select("i", "j", column).collect():
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r[column]
+    return out, linkage_order(1 - out)
+
+
 # Intrinsic dimension
 
 

@@ -271,3 +271,17 @@ def test_training_finds_a_planted_mixture(spark, tmp_path):
     best, info = training.train(df, mixture.Mixture.init(fit.centroids, 1), epochs=9, rate=0.2, batches=5, id_column="row_id", scratch=f"{tmp_path}/b")
     want = -true.log_density(true.log_likelihood(x)).mean()
     assert abs(mixture.mean_nll(df, best) - want) < 0.01 * abs(want), (info, want)
+
+
+def test_heatmap_order(spark):
+    rng = np.random.default_rng(3)
+    at = np.concatenate([rng.normal(0, 0.1, 5), rng.normal(9, 0.1, 4), rng.normal(4, 0.1, 6)])[rng.permutation(15)]
+    order = analysis.linkage_order(np.abs(at[:, None] - at[None]))
+    groups = [round(at[i] / 4.5) for i in order]
+    assert sorted(order) == list(range(15)) and sum(a != b for a, b in zip(groups[:-1], groups[1:], strict=True)) == 2
+    assert analysis.linkage_order(np.zeros((0, 0))) == [] and analysis.linkage_order(np.zeros((1, 1))) == [0]
+    m = random_model()
+    grid, order = analysis.heatmap(analysis.overlap(spark, m), 4)
+    assert np.allclose(grid, grid.T) and np.allclose(np.diag(grid), 1) and sorted(order) == [0, 1, 2, 3]
+    with pytest.raises(ValueError):
+        analysis.heatmap(analysis.overlap(spark, m), 4, most=3)
