@@ -43,7 +43,9 @@ PARITY_WORDS = 16
 STAR_ROUNDS = 3
 KEYS = ["doc_id", "t1", "t2"]
 #: Members up to which a bucket that is still open is compared within itself; larger ones take the prefix join.
-SMALL_BUCKET = 32
+SMALL_BUCKET = 512
+#: Bits of the broadcast bitmap that finds the rows whose full sets are wanted (32 MB).
+FILTER_BITS = 1 << 28
 
 
 @lru_cache(2)
@@ -123,15 +125,32 @@ def parity(x: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def sets(docs: DataFrame, width: int) -> DataFrame:
-    """(set_hash, elements, bits) of each row, with the elements as long and the parity bitmap."""
+def text_filter(texts: DataFrame, column: str) -> np.ndarray | None:
+    """A bitmap of the texts' 64-bit hashes, 16 bits or more for each of them and FILTER_BITS at most; none where they are too many for that."""
+    n = texts.count()
+    size = 1 << max(16, (16 * n - 1).bit_length() if n else 16)
+    if size > FILTER_BITS:
+        return None
+    place = F.col(column).bitwiseAND(size - 1)
+    words = texts.select(F.shiftright(place, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def sets(docs: DataFrame, width: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """(set_hash, elements, bits) of each row, with the elements as long and the parity bitmap. wanted: of rows whose text's hash is in the bitmap alone."""
+    given = None if wanted is None else docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [x for _, x in element_sets(batch.column(0), width)]
+            if given is not None:
+                place = batch.column(1).to_numpy().view(np.uint64) & np.uint64(64 * len(given.value) - 1)
+                batch = batch.filter(pa.array((given.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)))
+            got = [x for _, x in element_sets(batch.column(0), width)] if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([pa.array(map(set_name, got), pa.binary()), lists([K.to_signed(x) for x in got]), lists([parity(x) for x in got])], ["set_hash", "elements", "bits"])
 
-    return docs.select(shared.text_of().alias("text")).mapInArrow(run, "set_hash binary, elements array<long>, bits array<long>")
+    return docs.select(shared.text_of().alias("text"), shared.text_keys()[0].alias("t1")).mapInArrow(run, "set_hash binary, elements array<long>, bits array<long>")
 
 
 def similar(common: Column, left: Column, right: Column, percent: int) -> Column:
@@ -144,19 +163,23 @@ def may_link(n: Column, m: Column, differ: Column, percent: int) -> Column:
 
 
 def prefix_pairs(rest: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of rest's nodes (node, label) of other labels that share an element of their prefixes, whatever their bucket. Every such pair at the similarity is among them."""
-    elements = rest.join(full.select("node", "elements"), "node").select("node", "label", F.size("elements").alias("n"), F.explode("elements").alias("element"))
+    """(a, b): pairs of rest's nodes (node, label) of other labels that share an element of their prefixes, whatever their bucket, and whose bitmaps allow the similarity. Every such pair at the similarity is among them."""
+    words = [f"w{i}" for i in range(PARITY_WORDS)]
+    elements = rest.join(full.select("node", "elements"), "node").select("node", F.explode("elements").alias("element"))
     often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("often"))
-    ranked = elements.join(often, "element").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("ranked"))
-    least = F.ceil(F.col("n") * percent / 100)
-    overlap = F.ceil(F.col("n") * (2 * percent) / (100 + percent))
+    ranked = elements.join(often, "element").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("ranked"))
+    n = F.size("ranked")
+    least, overlap = F.ceil(n * percent / 100), F.ceil(n * (2 * percent) / (100 + percent))
     # A place more on either side keeps rounding harmless.
-    cut = ranked.select("node", "label", "n", (F.col("n") - overlap + 2).alias("few"), F.posexplode(F.slice("ranked", 1, (F.col("n") - least + 2).cast("int"))).alias("at", "r")).select("node", "label", "n", "at", (F.col("at") < F.col("few")).alias("few"), F.col("r.element").alias("element"))
-    small, large = (cut.select("element", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "at", "few"))) for x in "ab")
-    joined = small.filter("few_a").join(large, "element").filter("label_a <> label_b and (n_a < n_b or (n_a = n_b and node_a <> node_b))").filter(100 * F.col("n_a") >= percent * F.col("n_b"))
+    cut = ranked.select("node", n.alias("n"), (n - overlap + 2).alias("few"), F.posexplode(F.slice("ranked", 1, (n - least + 2).cast("int"))).alias("at", "r")).select("node", "n", "at", (F.col("at") < F.col("few")).alias("few"), F.col("r.element").alias("element"))
+    cut = cut.join(rest, "node").join(full.select("node", *words), "node")
+    small, large = (cut.select("element", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "at", "few", *words))) for x in "ab")
     room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
     # Of the elements a pair shares the first leaves room for all others.
-    joined = joined.filter((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b")) - (100 + percent))
+    fits = (100 * F.col("n_a") >= percent * F.col("n_b")) & ((100 + percent) * (room + 1) >= percent * (F.col("n_a") + F.col("n_b")))
+    differ = reduce(add, [F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in words])
+    joined = small.filter("few_a").join(large, "element").filter(F.col("label_a") != F.col("label_b")).filter(ordered & fits & may_link(F.col("n_a"), F.col("n_b"), differ, percent))
     return joined.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -178,9 +201,12 @@ def components_of(docs: DataFrame, width: int, percent: int = 80, bands: int = B
     nodes = members.select("node").distinct()
     # The full sets of the classes that share a bucket with another, each from its first row.
     involved = scratch.keep(classes.join(nodes, "node", "left_semi").select("node", "set_hash", *(F.col(f"head.{c}").alias(f"of_{c}") for c in KEYS)), "involved")
-    keyed = docs.withColumns(dict(zip(KEYS[1:], shared.text_keys(), strict=True)))
-    sources = keyed.join(involved, shared.same_row(keyed, KEYS, involved, [f"of_{c}" for c in KEYS]), "left_semi")
-    full = scratch.keep(sets(sources, width).join(involved.select("node", "set_hash"), "set_hash").select("node", "elements", *(F.col("bits")[i].alias(f"w{i}") for i in range(PARITY_WORDS))).dropDuplicates(["node"]), "sets")
+    wanted = text_filter(involved, "of_t1")
+    sources = docs
+    if wanted is None:  # then texts are shuffled to find their rows
+        keyed = docs.withColumns(dict(zip(KEYS[1:], shared.text_keys(), strict=True)))
+        sources = keyed.join(involved, shared.same_row(keyed, KEYS, involved, [f"of_{c}" for c in KEYS]), "left_semi")
+    full = scratch.keep(sets(sources, width, wanted).join(involved.select("node", "set_hash"), "set_hash").select("node", "elements", *(F.col("bits")[i].alias(f"w{i}") for i in range(PARITY_WORDS))).dropDuplicates(["node"]), "sets")
     labels = scratch.keep(nodes.select("node", F.col("node").alias("label")), "labels")
     words = [f"w{i}" for i in range(PARITY_WORDS)]
 
@@ -217,9 +243,7 @@ def components_of(docs: DataFrame, width: int, percent: int = 80, bands: int = B
     found = few.join(other, "bucket").filter("label < label_b").filter(may_link(F.col("n"), F.col("n_b"), differ, percent)).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
     if not sized.filter(F.col("members") > SMALL_BUCKET).isEmpty():
         crowd = scratch.keep(now.join(sized.filter(F.col("members") > SMALL_BUCKET).select("bucket"), "bucket", "left_semi").select("node", "label").distinct(), "crowd")
-        bits = full.select("node", F.size("elements").alias("n"), *words)
-        pairs = prefix_pairs(crowd, full, percent).join(bits.withColumnRenamed("node", "a"), "a").join(bits.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("n", *words))), "b")
-        found = found.unionByName(pairs.filter(may_link(F.col("n"), F.col("n_b"), differ, percent)).select("a", "b")).distinct()
+        found = found.unionByName(prefix_pairs(crowd, full, percent)).distinct()
     labels = merged(labels, verified(found))
 
     labelled = scratch.keep(classes.select("set_hash", "n_shingles", "node", "head").join(labels, "node", "left").select("set_hash", "n_shingles", "head", F.coalesce("label", "node").alias("label")), "labelled")
