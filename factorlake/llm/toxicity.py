@@ -21,6 +21,7 @@ Settings are chosen by ``cross_validated`` on the rows that may be learnt from,
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -333,8 +334,8 @@ def cross_validated(texts: list[str], labels: np.ndarray, settings: Settings, fo
     return {"loss": float(-np.where(y, np.log(p), np.log(1 - p)).mean()), "caught": float((scores[y] >= 0.7).mean()), "wrong": float((scores[~y] >= 0.7).mean())}
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray]:
-    """At most ``sample`` rows and ``sample_bytes`` of each class, whole texts; never rows that are held out."""
+def training_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame | None:
+    """(label, doc_id, text): at most ``sample`` rows and ``sample_bytes`` of each class, whole texts; never rows that are held out. None without any."""
     usable = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic in (0, 1)").filter(~held_out())
     clear = usable.groupBy("doc_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("high")).filter("low = high")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -342,15 +343,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> tup
     # At most ``sample`` numbers of each class.
     found = docs.select("doc_id", shared.text_of().alias("text")).join(F.broadcast(each[0].unionByName(each[1])), "doc_id")
     one = found.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.struct(*shared.text_keys())).alias("text"))
+    # Written once: the sizes and then the texts are read from it.
+    kept = shared.Scratch(docs.sparkSession).keep(one.select("label", "doc_id", "text"), "sample")
     took, left = [], {0: settings.sample_bytes, 1: settings.sample_bytes}
-    for r in one.select("doc_id", "label", F.octet_length("text").alias("size")).orderBy(*order).collect():
+    for r in kept.select("doc_id", "label", F.octet_length("text").alias("size")).orderBy(*order).collect():
         if r["size"] <= left[r["label"]]:
             took.append((r["doc_id"],))
             left[r["label"]] -= r["size"]
     if not took:
-        return [], np.zeros(0, np.int64)
+        return None
     wanted = docs.sparkSession.createDataFrame(took, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
-    rows = sorted(one.join(F.broadcast(wanted), "doc_id").collect(), key=lambda r: (r["label"], r["doc_id"]))
+    return kept.join(F.broadcast(wanted), "doc_id").select("label", "doc_id", "text")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray]:
+    """The sample's texts and labels, by label and doc_id."""
+    sample = training_sample(docs, labels, settings)
+    rows = [] if sample is None else sample.orderBy("label", "doc_id").collect()
     return [r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.int64)
 
 
@@ -359,8 +368,24 @@ def held_out():
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Network | float:
+    """Trains in one task of an executor, which reads the bounded sample; the driver gets the network alone, and a lost task runs again and gives the same."""
     settings = settings or Settings()
-    return train(*training_rows(docs, labels, settings), settings)
+    shared.bound_batches(docs.sparkSession)
+    sample = training_sample(docs, labels, settings)
+    if sample is None:
+        return 0.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for batch in batches:
+            marks += batch.column(0).to_pylist()
+            texts += batch.column(1).to_pylist()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(marks), settings))], pa.binary())], ["network"])
+
+    # As many rows and bytes as the settings allow.
+    ordered = sample.repartition(1).sortWithinPartitions("label", "doc_id").select("label", "text")
+    return pickle.loads(ordered.mapInArrow(run, "network binary").first()["network"])
 
 
 def score(docs: DataFrame, net: Network | float, window: int = Settings.window) -> DataFrame:
