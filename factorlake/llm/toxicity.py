@@ -36,6 +36,7 @@ from . import textkernel as K
 
 HIDDEN, WORD, CHAR, BUCKETS = 4, 6, 6, 1 << 15
 PREFIXES, SUFFIXES = range(2, 10), range(2, 6)
+WINDOWS = 4096  # of which states are held at a time
 
 
 @dataclass
@@ -164,12 +165,12 @@ class Network:
 
 def word_parts(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(words, prefixes and suffixes) hash buckets of words' first and last bytes; 0 where the word is shorter."""
-    out = np.zeros((len(starts), len(PREFIXES) + len(SUFFIXES)), np.int32)
+    out = np.zeros((len(starts), len(PREFIXES) + len(SUFFIXES)), np.uint16)
     for k, (n, tail) in enumerate([*((n, False) for n in PREFIXES), *((n, True) for n in SUFFIXES)]):
         some = np.flatnonzero(ends - starts >= n)
         a = ends[some] - n if tail else starts[some]
         h = K.span_hash(prefix, a, a + n) ^ np.uint64(k + 1)
-        out[some, k] = 1 + (K.mix(h) % np.uint64(BUCKETS - 1)).astype(np.int32)
+        out[some, k] = 1 + (K.mix(h) % np.uint64(BUCKETS - 1)).astype(np.uint16)
     return out
 
 
@@ -190,21 +191,48 @@ def filled(starts: np.ndarray, doc: np.ndarray, counts: np.ndarray, window: int,
     return np.where(out < end[None, :], out, padding)
 
 
-def read(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words' counts by document; hashes and parts of the distinct words; and which distinct word each word is."""
+def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The block itself, or a text that makes one alone in pieces of some BLOCK_BYTES, cut before bytes that separate words."""
+    begin = 0
+    while len(offsets) == 2 and len(data) - begin > 2 * K.BLOCK_BYTES:
+        end = begin + K.BLOCK_BYTES
+        while end < len(data) and not K.PUNCTUATION[data[end : end + 4096]].any():  # within a very long word
+            end += 4096
+        end = min(len(data), end + int(np.argmax(K.PUNCTUATION[data[end : end + 4096]])) if end < len(data) else end)
+        yield data[begin:end], np.array([0, end - begin])
+        begin = end
+    yield data[begin:], offsets if not begin else np.array([0, len(data) - begin])
+
+
+def read_piece(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, row = K.words(data, offsets, K.PUNCTUATION)
     prefix = K.prefix_hash(K.SPREAD[K.LOWER[data]])
     h, first, which = np.unique(K.span_hash(prefix, starts, ends), return_index=True, return_inverse=True)
     return np.bincount(row, minlength=len(offsets) - 1), h, word_parts(prefix, starts[first], ends[first]), which
 
 
+def merged(got: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What read() gives of several blocks as that of one."""
+    h, at_h = np.unique(np.concatenate([g[1] for g in got]), return_inverse=True)
+    at_h = np.split(at_h.astype(np.int32), np.cumsum([len(g[1]) for g in got])[:-1])
+    parts = np.empty((len(h), got[0][2].shape[1]), np.uint16)
+    for at, g in zip(at_h, got, strict=True):
+        parts[at] = g[2]
+    return np.concatenate([g[0] for g in got]), h, parts, np.concatenate([at[g[3]] for at, g in zip(at_h, got, strict=True)])
+
+
+def read(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words' counts by document; hashes and parts of the distinct words; and which distinct word each word is."""
+    got = [read_piece(*piece) for piece in pieces(data, offsets)]
+    if len(got) == 1:
+        return got[0]
+    counts, *rest = merged(got)
+    return counts.sum(keepdims=True), *rest
+
+
 def read_all(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """read() of a whole column, block by block."""
-    got = [read(data, offsets) for _, _, data, offsets in K.blocks(column)]
-    h, first, merged = np.unique(np.concatenate([g[1] for g in got]), return_index=True, return_inverse=True)
-    at = np.cumsum([0, *(len(g[1]) for g in got)])
-    which = np.concatenate([merged[a : a + len(g[1])][g[3]] for a, g in zip(at, got, strict=False)]).astype(np.int32)
-    return np.concatenate([g[0] for g in got]), h, np.concatenate([g[2] for g in got])[first], which
+    return merged([read(data, offsets) for _, _, data, offsets in K.blocks(column)])
 
 
 def figures(logits: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -218,24 +246,28 @@ def figures(logits: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), v[begin[:-1]], (total[begin[:-1] + quarter] - total[begin[:-1]]) / quarter, (total[begin[1:]] - total[begin[:-1]]) / size], axis=1)
 
 
-def logits_of(net: Network, x: np.ndarray, which: np.ndarray, first: np.ndarray, doc: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+def logits_of(net: Network, ids: np.ndarray, parts: np.ndarray, which: np.ndarray, first: np.ndarray, doc: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+    """Logits of all windows, WINDOWS at a time with the inputs of their own words alone. ids, parts: of distinct words; which: the distinct word that each word is."""
     out = [np.zeros(0, np.float32)]
-    for i in range(0, len(first), 4096):
-        out.append(net.forward(x, which[filled(first[i : i + 4096], doc[i : i + 4096], counts, window, len(which) - 1)]))
+    for i in range(0, len(first), WINDOWS):
+        some = slice(i, i + WINDOWS)
+        begin, end = first[i], min(first[some][-1] + window, len(which))
+        own, local = np.unique(which[begin:end], return_inverse=True)
+        rows = filled(first[some], doc[some], counts, window, end) - begin
+        out.append(net.forward(net.inputs(ids[own], parts[own]), np.append(local, len(own))[rows]))
     return np.concatenate(out)
 
 
 def score_block(net: Network, data: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
     counts, h, parts, which = read(data, offsets)
     first, doc = window_rows(counts, window)
-    x = net.inputs(net.word_ids(h), parts)
-    logits = logits_of(net, x, np.append(which, len(h)), first, doc, counts, window)
+    logits = logits_of(net, net.word_ids(h), parts, which, first, doc, counts, window)
     return 1 / (1 + np.exp(-(figures(logits, doc, len(counts)) @ net.scale)))
 
 
 def log_odds(ids: np.ndarray, doc: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """By id below n: documents that have it, and the log odds of class 1 in them, drawn to 0 where they are few."""
-    pairs = np.unique(ids * len(y) + doc)
+    pairs = np.unique(ids.astype(np.int64) * len(y) + doc)
     ids, toxic = pairs // len(y), y[pairs % len(y)] > 0
     have, p = np.bincount(ids, minlength=n), np.bincount(ids[toxic], minlength=n)
     odds = np.log((p + 0.5) / (y.sum() + 1)) - np.log((have - p + 0.5) / (len(y) - y.sum() + 1))
@@ -247,7 +279,7 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Network |
     seen: set[tuple] = set()
     kept = []
     for i, text in enumerate(texts):
-        _, _, _, h = K.word_hashes(*K.column_bytes(pa.array([text], pa.large_string())), K.PUNCTUATION)
+        h = np.concatenate([K.word_hashes(*piece, K.PUNCTUATION)[3] for piece in pieces(*K.column_bytes(pa.array([text], pa.large_string())))])
         same = (labels[i], len(h), int(K.span_hash(K.prefix_hash(h), np.array([0]), np.array([len(h)]))[0]))
         if same not in seen:
             seen.add(same)
@@ -259,26 +291,33 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Network |
     word_doc = np.repeat(np.arange(len(y)), counts)
     have, odds = log_odds(which, word_doc, y, len(hashes))
     often = have >= settings.least_documents
-    each = np.unique(which * len(y) + word_doc)  # distinct words of documents
+    each = np.unique(which.astype(np.int64) * len(y) + word_doc)  # distinct words of documents
+    each_word, each_doc = (each // len(y)).astype(np.int32), (each % len(y)).astype(np.int32)
+    del each, word_doc
     bucket_odds = np.zeros(BUCKETS)
-    for k in range(parts.shape[1]):  # one kind after the other, for the driver's memory
-        bucket_have, own = log_odds(parts[each // len(y), k].astype(np.int64), each % len(y), y, BUCKETS)
+    for k in range(parts.shape[1]):  # one kind after the other, for memory
+        bucket_have, own = log_odds(parts[each_word, k], each_doc, y, BUCKETS)
         own[bucket_have < settings.least_documents] = 0
         bucket_odds = np.where(np.abs(own) > np.abs(bucket_odds), own, bucket_odds)
     bucket_odds[0] = 0
-    del each, word_doc
+    del each_word, each_doc
     net = Network(hashes[often], odds[often].astype(np.float32), bucket_odds.astype(np.float32), settings.seed)
     ids = net.word_ids(hashes)
-    which = np.append(which, len(ids)).astype(np.int32)
     first, doc = window_rows(counts, settings.window)
     begin = np.searchsorted(doc, np.arange(len(y) + 1))
-    hints = np.append(np.where(often, odds, 0) + bucket_odds[parts].max(axis=1), -99)
+    hints = np.full(len(ids) + 1, -np.inf)
+    for k in range(parts.shape[1]):
+        np.maximum(hints[:-1], bucket_odds[parts[:, k]], out=hints[:-1])
+    hints[:-1] += np.where(often, odds, 0)
+    hints[-1] = -99
+    padded = np.append(which, np.int32(len(ids)))
 
     def rows(some: np.ndarray | slice) -> np.ndarray:
-        """(window, windows) distinct words of some windows. All windows' at once could be too many for the driver."""
-        return which[filled(first[some], doc[some], counts, settings.window, len(which) - 1)]
+        """(window, windows) distinct words of some windows. All windows' at once could be too many for memory."""
+        return padded[filled(first[some], doc[some], counts, settings.window, len(which))]
 
-    hint = np.concatenate([hints[rows(slice(i, i + 4096))].max(axis=0) for i in range(0, len(first), 4096)])
+    hint = np.concatenate([hints[rows(slice(i, i + WINDOWS))].max(axis=0) for i in range(0, len(first), WINDOWS)])
+    del hashes, hints, have, odds, often
     rng, moments, step = np.random.default_rng(settings.seed), {}, 0
     weight = np.where(y > 0, (len(y) - y.sum()) / y.sum(), 1.0)
 
@@ -291,7 +330,7 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> Network |
         net.p[name] -= (settings.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
     def all_logits() -> np.ndarray:
-        return logits_of(net, net.inputs(ids, parts), which, first, doc, counts, settings.window)
+        return logits_of(net, ids, parts, which, first, doc, counts, settings.window)
 
     for epoch in range(settings.epochs):
         value = hint if epoch < 3 else all_logits()

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import textwrap
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -576,6 +577,48 @@ def test_toxicity_training_drops_only_equal_rows(monkeypatch):
     assert rows == [10]  # the eight, the copy of the other class, and one without words
 
 
+def test_toxicity_log_odds_of_many_words():
+    """The numbers of 800,001 words times 3000 documents don't fit 32 bits."""
+    y = np.repeat(np.float32([0, 1]), 1500)
+    have, odds = toxicity.log_odds(np.array([1, 800_000, 800_000], np.int32), np.array([0, 2000, 2999]), y, 800_001)
+    assert have[[0, 1, 800_000]].tolist() == [0, 1, 2] and odds[1] < 0 < odds[800_000]
+
+
+def peak(f):
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_toxicity_training_memory():
+    """Texts whose words are all different: the network's inputs are those of some windows at a time."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.bytes(5).hex() for _ in range(1500)) for _ in range(400)]
+    K.powers(1)
+    _, most = peak(lambda: toxicity.train(texts, np.arange(400) % 2, toxicity.Settings(epochs=4)))
+    assert most < 20 * sum(map(len, texts))
+
+
+def test_toxicity_long_text_memory(monkeypatch):
+    """A long text is read in pieces, with the windows and the score that it has as a whole."""
+    rng = np.random.default_rng(6)
+    words = np.array(["".join(rng.choice(list("abcdefghé"), n)) for n in rng.integers(1, 12, 5000)])
+    text = " ".join(rng.choice(words, 400_000)) + " " + "x" * 700_000 + "; " + " ".join(rng.choice(words, 100_000))
+    net = toxicity.train([" ".join(rng.choice(words, 50)) for _ in range(40)], np.arange(40) % 2, toxicity.Settings(epochs=3))
+    data, offsets = K.column_bytes(pa.array([text], pa.large_string()))
+    K.powers(len(data) + 1)
+    got, most = peak(lambda: toxicity.score_block(net, data, offsets, 32))
+    assert most < 15 * len(data)
+    pieces = list(toxicity.pieces(data, offsets))
+    assert len(pieces) > 3 and b"".join(d.tobytes() for d, _ in pieces) == data.tobytes()
+    counts, h, _, which = toxicity.read(data, offsets)
+    assert counts.tolist() == [500_001] and (h[which] == K.word_hashes(data, offsets, K.PUNCTUATION)[3]).all()
+    monkeypatch.setattr(K, "BLOCK_BYTES", len(data))
+    assert np.abs(got - toxicity.score_block(net, data, offsets, 32)).max() < 1e-6
+
+
 def test_toxicity_training_takes_1500_of_a_class(spark):
     docs = spark.range(2600).selectExpr("id as doc_id", "concat('text ', id) as text")
     labels = docs.selectExpr("doc_id", "0 as toxic").filter(~toxicity.held_out())
